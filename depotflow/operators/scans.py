@@ -6,6 +6,7 @@ streaming frames alike.
 
 from pyspark.sql import functions as F
 
+from ..functions.once import computed_once
 from ..functions.text import is_blank
 
 # Product codes whose labels are printed wrongly, the text that is
@@ -42,21 +43,20 @@ def _cut(text, start, length=None):
     return F.substring(text, start + 1, F.lit(length) if isinstance(length, int) else length)
 
 
+def _codes(codes):
+    """Pattern of texts with one of the product codes in its place, from the start."""
+    return f"(?s)^(.{{3}}(?:{'|'.join(codes)}))" if codes else "$^"
+
+
 def repair_scans(scans, missing_mark=None, excess_codes=None):
     """Adds `repaired`: no parentheses, and known misprints put right."""
     missing_mark = MISSING_SERIAL_MARK if missing_mark is None else missing_mark
     excess_codes = EXCESS_TEXT_CODES if excess_codes is None else excess_codes
-    bare = F.translate("raw", "()", "")
-    return (
-        scans
-        .withColumn("bare", F.when(is_blank(F.col("raw")), "").otherwise(bare))
-        .withColumn("code", F.when(F.length("bare") >= 16, _cut("bare", 3, 13)).otherwise(""))
-        .withColumn("repaired", F.when(
-            F.col("code").isin(missing_mark),
-            F.concat(_cut("bare", 0, 16), F.lit(SERIAL_MARK), _cut("bare", 16)))
-            .when(F.col("code").isin(excess_codes), F.replace("bare", F.lit(EXCESS_TEXT), F.lit("")))
-            .otherwise(F.col("bare")))
-        .drop("bare", "code"))
+    bare = F.translate(F.coalesce("raw", F.lit("")), "()", "")
+    return scans.withColumn("repaired", (
+        F.when(F.rlike(bare, F.lit(_codes(excess_codes))),
+               F.replace(bare, F.lit(EXCESS_TEXT), F.lit("")))
+        .otherwise(F.regexp_replace(bare, _codes(missing_mark), f"$1{SERIAL_MARK}"))))
 
 
 def _with_delimiter(scans):
@@ -130,7 +130,10 @@ def classify_scans(scans, missing_mark=None, excess_codes=None):
         .when(packed & plain, "BUNDLE")
         .when(packed & composite, bundle_type)
         .otherwise("UNKNOWN"))
-    value = F.when((F.col("type") == "BUNDLE") & composite, F.col("bundle")).otherwise(text)
+    value = (
+        F.when(F.col("type") == "EMPTY", "")
+        .when((F.col("type") == "BUNDLE") & composite, F.col("bundle"))
+        .otherwise(text))
     return steps.withColumn("type", kind).withColumn("value", value).select(
         *scans.columns, "type", "value")
 
@@ -142,32 +145,28 @@ def extract_gs1(scans, missing_mark=None, excess_codes=None):
     first is the packing level), 17 with 6 digits, and 10 and 21 which run to
     the next separator or the end. A bare 13-digit code counts as a product code.
     """
-    text = F.regexp_replace("repaired", r"(?i)\]d2|<gs>|\[gs\]", _GS)
-    rest = F.col("fields")
-    batch = rf"^(?:17[0-9]{{6}}{_GS}?|21[^{_GS}]*{_GS})*10([^{_GS}]+)"
-    serial = rf"^(?:17[0-9]{{6}}{_GS}?|10[^{_GS}]*{_GS})*21([^{_GS}]+)"
-    expiry = rf"^(?:(?:10|21)[^{_GS}]*{_GS})*17([0-9]{{6}})"
+    start = "^01[0-9]{14}"
+    product = "(?:^01[0-9]|^(?=[0-9]{13}$))([0-9]{13})"
+    batch = f"{start}(?:17[0-9]{{6}}{_GS}?|21[^{_GS}]*{_GS})*10([^{_GS}]+)"
+    serial = f"{start}(?:17[0-9]{{6}}{_GS}?|10[^{_GS}]*{_GS})*21([^{_GS}]+)"
+    expiry = f"{start}(?:(?:10|21)[^{_GS}]*{_GS})*17([0-9]{{6}})"
 
     def found(pattern):
-        return F.nullif(F.regexp_extract(rest, pattern, 1), F.lit(""))
+        return F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
 
-    is_gtin = F.col("text").rlike("^01[0-9]{14}")
-    product = F.when(is_gtin, _cut("text", 3, 13)).when(
-        F.col("text").rlike("^[0-9]{13}$"), F.col("text"))
     yymmdd = F.col("yymmdd")
     month = F.concat(F.lit("20"), _cut(yymmdd, 0, 2), F.lit("-"), _cut(yymmdd, 2, 2), F.lit("-"))
     # Day 00 stands for the last day of the month.
     day = _cut(yymmdd, 4, 2)
     date = F.when(day == "00", F.last_day(F.concat(month, F.lit("01")).try_cast("date"))).otherwise(
         F.concat(month, day).try_cast("date"))
-    return (
-        repair_scans(scans, missing_mark, excess_codes)
-        .withColumn("text", text)
-        .withColumn("fields", F.when(is_gtin, _cut("text", 16)))
-        .withColumn("yymmdd", found(expiry))
-        .withColumns({"gtin": product, "batch": found(batch), "expiry": date,
-                      "serial": found(serial)})
-        .select(*scans.columns, "gtin", "batch", "expiry", "serial"))
+    separated = repair_scans(scans, missing_mark, excess_codes).withColumn(
+        "text", F.regexp_replace("repaired", r"(?i)\]d2|<gs>|\[gs\]", _GS))
+    fields = computed_once(separated, {
+        "gtin": found(product), "batch": found(batch), "yymmdd": found(expiry),
+        "serial": found(serial)})
+    return fields.withColumn("expiry", date).select(
+        *scans.columns, "gtin", "batch", "expiry", "serial")
 
 
 def count_scans(scans):

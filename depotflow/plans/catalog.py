@@ -1,6 +1,7 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import movement_queries  # noqa: F401
+from . import (  # noqa: F401
+    forecast_queries, movement_queries, scan_queries)
 from .registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]

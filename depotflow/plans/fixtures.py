@@ -5,7 +5,22 @@ checks read the same rows. `USES` lists the tables a text reads that are
 themselves in this module.
 """
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+# Declared, so that opening a table starts no job to look its columns up.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+                "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+TABLES = tuple(SCHEMAS)
 
 # Orders are dispatched in days of 240, so more customers mean more days of the
 # same size.
@@ -131,7 +146,7 @@ USES = {
 def fixture(spark, sf_dir, name):
     """A derived table as a DataFrame over the Parquet files in `sf_dir`."""
     text = SQL[name]
-    inputs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    inputs = {t: spark.read.schema(SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet")
               for t in TABLES if f"{{{t}}}" in text}
     inputs |= {t: fixture(spark, sf_dir, t) for t in USES.get(name, ())}
     return spark.sql(text, **inputs)
