@@ -81,32 +81,30 @@ def _unfold(metrics, lookbacks, hybrids):
     and has no price.
     """
     none = F.lit(None)
+    named = F.col("product_name").isNotNull()
+    last_year, current, price = (F.col(c) for c in ("last_year_qty", "current_qty", "price"))
+    in_last_year, in_current = F.col("last_year_rows") > 0, F.col("current_rows") > 0
 
-    def part(number, lookback, hybrid, present, recent, last_year, current, price):
+    def part(number, lookback, present, *values):
+        types = zip(("recent", "last_year", "current", "price"), values,
+                    ("double", "bigint", "bigint", "double"))
         return F.when(present, F.struct(
             F.lit(number).alias("part"), F.lit(lookback).alias("lookback"),
-            F.lit(hybrid).alias("hybrid"), recent.cast("double").alias("recent"),
-            last_year.cast("bigint").alias("last_year"), current.cast("bigint").alias("current"),
-            price.cast("double").alias("price")))
+            *[value.cast(kind).alias(name) for name, value, kind in types]))
 
-    named = F.col("product_name").isNotNull()
-    last_year, current, price = (F.col(c) for c in ("last_year_qty", "current_qty", "price"))
-    in_last_year, in_current = F.col("last_year_rows") > 0, F.col("current_rows") > 0
     parts = []
     for lookback in lookbacks:
         recent, in_recent = F.col(f"recent_{lookback}"), F.col(f"rows_{lookback}") > 0
-        for hybrid in hybrids:
-            key = (lookback, hybrid)
-            anywhere = in_recent | in_last_year | in_current
-            parts += [
-                part(0, *key, named & anywhere, recent, last_year, current, price),
-                part(1, *key, ~named & in_recent, recent, none, none, none),
-                part(2, *key, ~named & in_last_year, none, last_year, none, none),
-                part(3, *key, ~named & in_current, none, none, current, none),
-            ]
-    rows = F.explode(F.array_compact(F.array(*parts))).alias("p")
-    return metrics.select("partner_name", "product_name", rows).select(
-        "partner_name", "product_name", "p.*")
+        parts += [
+            part(0, lookback, named & (in_recent | in_last_year | in_current),
+                 recent, last_year, current, price),
+            part(1, lookback, ~named & in_recent, recent, none, none, none),
+            part(2, lookback, ~named & in_last_year, none, last_year, none, none),
+            part(3, lookback, ~named & in_current, none, none, current, none),
+        ]
+    rows = metrics.select("partner_name", "product_name", F.inline(
+        F.array_compact(F.array(*parts))))
+    return rows.withColumn("hybrid", F.explode(F.array(*[F.lit(h) for h in hybrids])))
 
 
 def _forecast(parts):
