@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_A_KM, FLATTENING, MEAN_RADIUS_KM, geo_distance_km
 from ..operators import balance, dispatch, routing
 from ..operators.filters import limit_rows
-from ..schema import FLEET_SIZE, ORDERS_PER_DAY
+from ..schema import FLEET_SIZE, ORDERS_PER_DAY, TRANSFER_MAX_KM
 from .registry import query, sql_with
 
 
@@ -82,7 +82,7 @@ def _walk(keys):
     return f"""
 walk AS (
   SELECT DISTINCT {key_list}, 0 AS seq, CAST(-1 AS BIGINT) AS order_id, 0 AS assign_phase,
-         start_lat AS lat, start_lon AS lon, start_lat, start_lon, 0.0 AS leg_km,
+         start_lat AS lat, start_lon AS lon, start_lat, start_lon, CAST(0 AS DOUBLE) AS leg_km,
          CAST([] AS BIGINT[]) AS seen
   FROM assigned
   UNION ALL
@@ -157,13 +157,13 @@ def summarised(t):
     return routing.route_summary(planned(t), first_vehicles(t))
 
 
-def pairs(t):
-    """Vehicles relieved by another one: each vehicle whose neighbour in the list may help."""
+def relief(t):
+    """Pairs of vehicles for the gap report: each may hand stops to the one before it."""
     ids = first_vehicles(t).select(F.col("vehicle_id").alias("busy_id"))
     return ids.where(F.col("busy_id") > 0).withColumn("idle_id", F.col("busy_id") - 1)
 
 
-PAIRS = """pairs AS (
+RELIEF = """relief AS (
   SELECT vehicle_id AS busy_id, vehicle_id - 1 AS idle_id FROM fleet WHERE vehicle_id > 0)"""
 
 
@@ -286,14 +286,14 @@ def _(t):
 GAP = """gaps AS (
   SELECT b.route_day, p.busy_id, p.idle_id, b.minutes AS busy_min, i.minutes AS idle_min,
          b.minutes - i.minutes AS gap_min, b.minutes - i.minutes >= 20 AS flagged
-  FROM pairs p JOIN summary b ON b.vehicle_id = p.busy_id
+  FROM relief p JOIN summary b ON b.vehicle_id = p.busy_id
   JOIN summary i ON i.vehicle_id = p.idle_id AND i.route_day = b.route_day)"""
 MINUTES = ["busy_min", "idle_min", "gap_min"]
 
 
-@query("workload_gap", "W4", _over_plan(f"SELECT {_round(MINUTES)} FROM gaps", PAIRS, GAP))
+@query("workload_gap", "W4", _over_plan(f"SELECT {_round(MINUTES)} FROM gaps", RELIEF, GAP))
 def _(t):
-    return _rounded(balance.workload_gap(summarised(t), pairs(t)), *MINUTES)
+    return _rounded(balance.workload_gap(summarised(t), relief(t)), *MINUTES)
 
 
 @query("workload_extremes", "W5", _over_plan(f"""
@@ -316,21 +316,24 @@ SELECT route_day, busy_id, idle_id, order_id, ROUND(km, 6) AS transfer_km FROM (
                {km_sql('f.start_lat', 'f.start_lon', 's.lat', 's.lon')} AS km
         FROM gaps g JOIN stops s ON s.route_day = g.route_day AND s.vehicle_id = g.busy_id
         JOIN fleet f ON f.vehicle_id = g.idle_id WHERE g.flagged) WHERE {where})
-WHERE k = 1""", PAIRS, GAP)
+WHERE k = 1""", RELIEF, GAP)
+
+
+def _transfers(t, max_km=None):
+    plan = planned(t)
+    gaps = balance.workload_gap(routing.route_summary(plan, first_vehicles(t)), relief(t))
+    moves = balance.transfer_candidates(plan, first_vehicles(t), gaps, max_km)
+    return _rounded(moves, "transfer_km")
 
 
 @query("transfer_candidates", "W6", _transfer_sql("TRUE"))
 def _(t):
-    gaps = balance.workload_gap(summarised(t), pairs(t))
-    return _rounded(
-        balance.transfer_candidates(planned(t), first_vehicles(t), gaps), "transfer_km")
+    return _transfers(t)
 
 
 @query("transfer_candidates_near", "W6", _transfer_sql("km < 15"))
 def _(t):
-    gaps = balance.workload_gap(summarised(t), pairs(t))
-    return _rounded(
-        balance.transfer_candidates(planned(t), first_vehicles(t), gaps, 15.0), "transfer_km")
+    return _transfers(t, TRANSFER_MAX_KM)
 
 
 def _starts(t):
