@@ -9,11 +9,19 @@ from ..functions.text import like_text
 from ..schema import OUTBOUND, SEARCH_COLS, SHIPMENT_COLS
 
 
+def _in_days(m, start, end):
+    """Date condition; on a landed table also the months, so that partitions are skipped."""
+    condition = F.col("move_date").between(F.lit(start), F.lit(end))
+    if "move_month" in m.columns:
+        condition &= F.col("move_month").between(f"{start:%Y-%m}", f"{end:%Y-%m}")
+    return condition
+
+
 def date_range_filter(m, start=None, end=None):
     """Inclusive date range. A missing bound means the whole history."""
     if start is None or end is None:
         return m
-    return m.where(F.col("move_date").between(F.lit(as_date(start)), F.lit(as_date(end))))
+    return m.where(_in_days(m, as_date(start), as_date(end)))
 
 
 def in_filter(m, col, values, on_empty="skip"):
@@ -58,7 +66,7 @@ def datetime_range_filter(m, start_dt, end_dt):
     first, last = F.lit(start_dt.date()), F.lit(end_dt.date())
     from_time, to_time = (F.lit(v.strftime("%H:%M:%S")) for v in (start_dt, end_dt))
     return m.where(
-        day.between(first, last)
+        _in_days(m, start_dt.date(), end_dt.date())
         & ((day > first) | (time >= from_time))
         & ((day < last) | (time <= to_time)))
 

@@ -10,8 +10,8 @@ from .tables import normalise_headers
 def read_movement(spark, path, landed=True):
     """The movement table with its fixed schema; a missing path raises.
 
-    A landed table also has its partition column, so a date filter together
-    with `month_filter` reads only the months it needs.
+    A landed table also has its partition column `move_month`; date filters use
+    it to read only the months they need.
     """
     return spark.read.schema(MOVEMENT_LANDED if landed else MOVEMENT).parquet(path)
 
@@ -37,8 +37,3 @@ def land_movement(df, path):
     (df.withColumn("move_month", year_month("move_date"))
      .hint("rebalance", "move_month")
      .write.mode("errorifexists").partitionBy("move_month").parquet(path))
-
-
-def month_filter(m, start, end):
-    """Partition filter for an inclusive date range on a landed table."""
-    return m.where(F.col("move_month").between(str(start)[:7], str(end)[:7]))
