@@ -2,15 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.bounded import INLINE_MAX_ROWS, fits, inline_rows
-from ..functions.geo import geo_distance_km, nearest_in_array, reduced_latitude
+from ..functions.bounded import fits, inline_rows
+from ..functions.geo import POSITION, geo_distance_km, position, with_nearest
+from ..functions.once import computed_once
 from ..functions.text import is_blank, parse_coord
 from ..schema import (
     BAG_LOAD, BOX_LOAD, DEFAULT_EFFICIENCY, DEFAULT_START, NO_ADDRESS, NOT_FOUND, UNASSIGNED)
 from .nearest import nearest_by_grid
 
 START = ("start_lat", "start_lon")
-FLEET_FIELDS = ("vehicle_id", "beta", "lon", "start_lat", "keywords")
+# Every order looks at the whole carried fleet, so this stays small.
+INLINE_MAX_FLEET = 500
+FLEET_FIELDS = ("vehicle_id", *POSITION, "start_lat", "keywords")
 
 
 def with_total_load(orders):
@@ -66,7 +69,7 @@ def geocode_orders(orders, geo):
         "geo_key", "geo_coord")
 
 
-def zone_candidates(orders, zones, max_inline=INLINE_MAX_ROWS):
+def zone_candidates(orders, zones, max_inline=INLINE_MAX_FLEET):
     """(order_id, vehicle_id) for every vehicle with a zone keyword inside the address.
 
     Orders matching no zone keep one row with a NULL vehicle.
@@ -100,7 +103,7 @@ def _address_candidates(orders, zones):
     return pieces.join(zones, "keyword").select("address", "vehicle_id").distinct()
 
 
-def assign_vehicles(orders, vehicles, zones, max_inline=INLINE_MAX_ROWS):
+def assign_vehicles(orders, vehicles, zones, max_inline=INLINE_MAX_FLEET):
     """The nearest vehicle of each located order, measured from the vehicle's start.
 
     Vehicles whose zone matches the address are considered first; without one,
@@ -125,8 +128,8 @@ def with_zone_keywords(vehicles, zones):
     keywords = zones.groupBy("vehicle_id").agg(F.collect_set("keyword").alias("keywords"))
     return vehicles.join(keywords, "vehicle_id", "left").select(
         *[c for c in ("scenario_id",) if c in vehicles.columns],
-        "vehicle_id", reduced_latitude(F.col("start_lat")).alias("beta"),
-        F.col("start_lon").alias("lon"), "start_lat", "keywords")
+        "vehicle_id", "start_lat", "keywords",
+        *[c.alias(n) for n, c in position(*START).items()])
 
 
 def _assign_inline(located, vehicles, zones):
@@ -144,12 +147,10 @@ def assign_from_fleet(orders):
         orders
         .withColumn("pool", F.filter("fleet", in_zone))
         .withColumn("assign_phase", F.when(zoned == 0, 3).when(zoned == 1, 1).otherwise(2))
-        .withColumn("pool", F.when(zoned == 0, F.col("fleet")).otherwise(F.col("pool")))
-        .withColumn("beta", reduced_latitude(F.col("lat")))
-        .withColumn("best", nearest_in_array(F.col("beta"), F.col("lon"), F.col("pool")))
-        .withColumn("depot", F.filter(
-            "fleet", lambda v: v["vehicle_id"] == F.col("best.vehicle_id"))[0]))
-    return matched.select(
+        .withColumn("pool", F.when(zoned == 0, F.col("fleet")).otherwise(F.col("pool"))))
+    placed = computed_once(with_nearest(matched, "pool"), {"depot": F.filter(
+        "fleet", lambda v: v["vehicle_id"] == F.col("best.vehicle_id"))[0]})
+    return placed.select(
         *orders.columns,
         F.col("best.vehicle_id").alias("vehicle_id"),
         F.col("best.km").alias("distance_km"),
