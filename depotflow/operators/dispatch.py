@@ -54,7 +54,8 @@ def geocode_orders(orders, geo):
 
     Addresses are compared without outer white space. When an address is
     listed more than once the lowest `hit` counts, or the lowest coordinate
-    text where the table has no such column.
+    text where the table has no such column. Blank addresses get scattered keys
+    that match nothing, since a NULL key would bring them all into one task.
     """
     first = F.min(F.struct("hit", "coord"))["coord"] if "hit" in geo.columns else F.min("coord")
     known = geo.groupBy(F.btrim("address").alias("geo_key")).agg(first.alias("geo_coord"))
@@ -63,8 +64,9 @@ def geocode_orders(orders, geo):
         F.when(blank, NO_ADDRESS)
         .when(F.col("geo_coord").isNull(), NOT_FOUND)
         .otherwise(F.col("geo_coord")))
-    keyed = orders.drop("coord").withColumn(
-        "geo_key", F.when(~blank, F.btrim("address")))
+    scattered = F.concat(F.lit("\x01"), F.xxhash64(*orders.columns).cast("string"))
+    keyed = orders.withColumn(
+        "geo_key", F.when(blank, scattered).otherwise(F.btrim("address"))).drop("coord")
     return keyed.join(known, "geo_key", "left").withColumn("coord", coord).drop(
         "geo_key", "geo_coord")
 

@@ -111,7 +111,7 @@ def _scan_stream(t):
     """The scan table landed once, then read back as a stream of files."""
     path = fresh_path(t.spark, "scans")
     t.scans.write.parquet(path)
-    return t.spark.readStream.schema(SCAN).parquet(path)
+    return t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", 1000).parquet(path)
 
 
 @query("classify_stream", "D1", sql_with(["scans"], "SELECT * FROM classified", [CLASSIFIED]))

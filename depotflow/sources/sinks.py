@@ -14,9 +14,13 @@ def write_orders(df, path):
 
 
 def write_dispatch(detail, summary, path):
-    """Detail, one partition per day, and summary side by side."""
-    (detail.hint("rebalance", "route_day").write.mode("errorifexists")
-     .partitionBy("route_day").parquet(f"{path}/detail"))
+    """Detail and summary side by side.
+
+    The detail is laid out by day, so that a reader of one day skips the other
+    files; ranges over day and order also divide a very large day.
+    """
+    (detail.repartitionByRange("route_day", "order_id").write.mode("errorifexists")
+     .parquet(f"{path}/detail"))
     summary.write.mode("errorifexists").parquet(f"{path}/summary")
 
 
