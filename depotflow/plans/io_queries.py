@@ -11,7 +11,7 @@ from ..session import fresh_path
 from ..sources import movement, sinks, tables
 from ..streaming import scans as streams
 from .dispatch_queries import DELIVERY, PLAN, _rounded, first_vehicles
-from .pipelines import dispatch_plan
+from .workflows import dispatch_plan
 from .registry import query, sql_with
 from .scan_queries import CLASSIFIED, EXTRACTED, FIXED
 
