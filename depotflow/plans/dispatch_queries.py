@@ -10,7 +10,9 @@ from ..functions.geo import EARTH_A_KM, FLATTENING, MEAN_RADIUS_KM, geo_distance
 from ..operators import balance, dispatch, routing
 from ..operators.filters import limit_rows
 from ..schema import FLEET_SIZE, ORDERS_PER_DAY, TRANSFER_MAX_KM
+from ..session import fresh_path
 from .registry import query, sql_with
+from .workflows import plan_stops
 
 
 def _reduced(lat):
@@ -320,9 +322,11 @@ WHERE k = 1""", RELIEF, GAP)
 
 
 def _transfers(t, max_km=None):
-    plan = planned(t)
-    gaps = balance.workload_gap(routing.route_summary(plan, first_vehicles(t)), relief(t))
-    moves = balance.transfer_candidates(plan, first_vehicles(t), gaps, max_km)
+    fleet = first_vehicles(t)
+    stops = plan_stops(
+        t.delivery_orders, fleet, t.vehicle_zone, fresh_path(t.spark, "transfers"))
+    gaps = balance.workload_gap(routing.route_summary(stops, fleet), relief(t))
+    moves = balance.transfer_candidates(stops, fleet, gaps, max_km)
     return _rounded(moves, "transfer_km")
 
 

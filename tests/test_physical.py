@@ -11,10 +11,11 @@ from depotflow.session import fresh_path
 SF_DIR = "/root/testdata/sf0.001"
 IN_PYTHON = {
     "sequence_routes", "route_legs", "route_summary", "dispatch_detail", "workload_gap",
-    "workload_extremes", "transfer_candidates", "transfer_candidates_near", "depot_scenarios"}
+    "workload_extremes", "depot_scenarios"}
 WRITERS = {
     "land_movement", "landed_month", "write_csv", "write_dispatch", "split_by_column",
-    "write_orders", "classify_stream", "match_returns_stream"}
+    "write_orders", "classify_stream", "match_returns_stream", "transfer_candidates",
+    "transfer_candidates_near"}
 
 
 def plan_of(df):
