@@ -172,13 +172,26 @@ def brute_route(lats, lons, start):
     return order
 
 
-@pytest.mark.parametrize("n, digits", [(1, 4), (40, 1), (300, 2), (900, 5)])
-def test_visit_order_is_nearest_neighbour(n, digits):
+def random_places(n, digits):
     rng = random.Random(n)
-    places = list(dict.fromkeys(
-        (round(rng.uniform(35, 36), digits), round(rng.uniform(128, 129), digits)) for _ in range(n)))
-    lats, lons = (np.array(v) for v in zip(*places))
-    assert list(routing.visit_order(lats, lons, 35.3, 128.7)) == brute_route(lats, lons, (35.3, 128.7))
+    places = dict.fromkeys(
+        (round(rng.uniform(35, 36), digits), round(rng.uniform(128, 129), digits)) for _ in range(n))
+    return (np.array(v) for v in zip(*places))
+
+
+@pytest.mark.parametrize("visit", [routing._visit_by_matrix, routing._visit_by_latitude])
+@pytest.mark.parametrize("n, digits", [(1, 4), (40, 1), (150, 2)])
+def test_visit_order_is_nearest_neighbour(visit, n, digits):
+    lats, lons = random_places(n, digits)
+    assert list(visit(lats, lons, 35.3, 128.7)) == brute_route(lats, lons, (35.3, 128.7))
+
+
+def test_long_routes_visit_in_the_same_order():
+    lats, lons = random_places(2500, 3)
+    assert len(lats) > routing.MATRIX_MAX_PLACES
+    expected = list(routing._visit_by_matrix(lats, lons, 34.0, 128.7))
+    assert list(routing.visit_order(lats, lons, 34.0, 128.7)) == expected
+    assert sorted(expected) == list(range(len(lats)))
 
 
 def stops_frame(spark, n=60, days=3, digits=1):
