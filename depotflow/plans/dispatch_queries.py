@@ -183,15 +183,16 @@ def _(t):
     return located(t)
 
 
-@query("first_orders_and_vehicles", "P12", sql_with(["delivery_orders", "vehicles"], f"""
-SELECT * FROM (SELECT order_id, CAST(NULL AS INT) AS vehicle_id FROM delivery_orders
-               ORDER BY order_id LIMIT {ORDERS_PER_DAY})
-UNION ALL SELECT * FROM (SELECT CAST(NULL AS BIGINT), vehicle_id FROM vehicles
-                         ORDER BY vehicle_id LIMIT {FLEET_SIZE})"""))
+@query("first_orders", "P12", sql_with(["delivery_orders"], f"""
+SELECT * FROM delivery_orders ORDER BY order_id LIMIT {ORDERS_PER_DAY}"""))
 def _(t):
-    orders = limit_rows(t.delivery_orders, ORDERS_PER_DAY, "order_id").select("order_id")
-    vehicles = limit_rows(t.vehicles, FLEET_SIZE, "vehicle_id").select("vehicle_id")
-    return orders.unionByName(vehicles, allowMissingColumns=True)
+    return limit_rows(t.delivery_orders, ORDERS_PER_DAY, "order_id")
+
+
+@query("first_vehicles", "P12", sql_with(["vehicles"], f"""
+SELECT * FROM vehicles ORDER BY vehicle_id LIMIT {FLEET_SIZE}"""))
+def _(t):
+    return limit_rows(t.vehicles, FLEET_SIZE, "vehicle_id")
 
 
 @query("vehicle_defaults", "P13", sql_with(["vehicles"], "SELECT * FROM fleet", [_fleet()]))

@@ -1,7 +1,5 @@
 """Reading, normalising and landing the movement table."""
 
-from pyspark.sql import functions as F
-
 from ..functions.calendar import year_month
 from ..schema import MOVE_TYPE_LABELS, MOVEMENT, MOVEMENT_HEADERS, MOVEMENT_LANDED
 from .tables import normalise_headers
