@@ -1,5 +1,8 @@
 """Session set-up and the shared working folder."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +37,8 @@ def shared_dir(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return _local_dir()
 
@@ -45,6 +49,7 @@ _LOCAL = []
 def _local_dir():
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="depotflow-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return _LOCAL[0]
 
 
