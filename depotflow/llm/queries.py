@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from .common import table
+from .embeddings import near_vectors
+from .line_dedup import dedup_lines
 from .lm import score_documents
 from .packing import pack_documents
+from .quality_model import score_quality
 from .quality_rules import judge_documents
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -47,9 +50,24 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_quality_classifier(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, cut=0.3)
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50, count="n_deleted")
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     judged = judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
                          "rules.n_repeat_words", "rules.base_failed", "rules.kept",
                          "rules.n_lines_removed", "rules.lost_share")
+
+
+@query
+def op10_embedding_near_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
