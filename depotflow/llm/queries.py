@@ -11,6 +11,7 @@ from .quality_model import score_quality
 from .quality_rules import judge_documents
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .url_filter import judge_urls
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,6 +45,17 @@ def op3_packing(spark, sf_dir):
                          "sequence_id", "offset")
 
 
+@query
+def op4_url_filter(spark, sf_dir):
+    """Pages are labelled by the document whose number their path ends in: low quality or toxic is to block."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", "^[^?#]*/([0-9]+)", 1).try_cast("long")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.expr(
+        "cast(quality = 0 or toxic = 1 as int)").alias("blocked"))
+    labelled = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "blocked")
+    return judge_urls(pages, labelled)
+
+
 @query
 def op5_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
