@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embeddings import near_vectors
+from .lattice import decode_documents, encode_documents
 from .line_dedup import dedup_lines
 from .lm import score_documents
 from .packing import pack_documents
@@ -62,6 +63,16 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_sentencepiece(spark, sf_dir):
+    """Ids of every text, and the digest of the text that they decode to."""
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = encode_documents(table(spark, sf_dir, "documents"), model)
+    return decode_documents(coded, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @query
 def op7_quality_classifier(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, cut=0.3)
