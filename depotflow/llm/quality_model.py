@@ -13,6 +13,7 @@ from .common import id_remainder, text_of, write_shared
 BUCKETS = 1 << 15
 DIMS = 32
 NONZERO = 4
+WIDTH = 3 * DIMS + 2
 REACH = 2
 CHUNK = 1_000_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -99,7 +100,7 @@ def word_vectors(docs, index):
 def pooled(places, vectors, weights):
     """Weighted mean and deviation of the word vectors, plain mean, length and share of distinct tokens."""
     if not len(places):
-        return np.zeros(3 * DIMS + 2, np.float32)
+        return np.zeros(WIDTH, np.float32)
     rows, w = vectors[places], weights[places][:, None] + 1e-6
     mean = (rows * w).sum(0) / w.sum()
     spread = np.sqrt(np.maximum((rows * rows * w).sum(0) / w.sum() - mean * mean, 0))
@@ -182,12 +183,12 @@ def score_quality(docs, labels, id="doc_id", text="text", target="quality", modu
     known = labels.where(F.col(target).isin(0, 1)).groupBy(F.col(id).cast("long").alias("id")).agg(
         F.min(target).cast("int").alias("y"))
     sample = features.where("not held_out").join(known, "id").orderBy(F.xxhash64("id"), "id", "x").limit(most_rows).toPandas()
-    x = np.frombuffer(b"".join(map(bytes, sample["x"])), np.float32).reshape(len(sample), -1)
+    x = np.frombuffer(b"".join(map(bytes, sample["x"])), np.float32).reshape(-1, WIDTH)
     network = Network().fit(x.astype(np.float64), sample["y"].to_numpy(np.int64))
 
     @F.pandas_udf("double")
     def score(raw: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(map(bytes, raw)), np.float32).reshape(len(raw), -1)
+        x = np.frombuffer(b"".join(map(bytes, raw)), np.float32).reshape(-1, WIDTH)
         return pd.Series(network.predict(x.astype(np.float64)))
 
     scored = features.select("id", "held_out", score("x").alias("score"))
