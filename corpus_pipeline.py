@@ -6,7 +6,7 @@ from depotflow.llm.common import write_shared
 from depotflow.llm.line_dedup import dedup_lines
 from depotflow.llm.packing import pack_documents
 from depotflow.llm.quality_rules import judge_documents
-from depotflow.llm.queries import tokenizer_spec
+from depotflow.llm.queries import same_ranks, tokenizer_spec
 from depotflow.llm.secrets import redact_secrets
 from depotflow.llm.simhash import drop_similar
 
@@ -35,7 +35,7 @@ def secret_scan(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     """Pieces of sequences of 2,048 tokens, with the checksum of their ids."""
-    pieces = pack_documents(docs, tokenizer_spec(), window=2048, end_id=1)
+    pieces = pack_documents(docs, tokenizer_spec(), window=2048, end_id=1, **same_ranks())
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

@@ -104,4 +104,5 @@ def judge_documents(docs, text="text", rules=LineRules(), out="rules"):
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([judge_text(t, rules) for t in texts], columns=names)
 
-    return docs.withColumn(out, judge(text_of(text)))
+    # as not deterministic it runs once, also where a filter on the verdict follows
+    return docs.withColumn(out, judge.asNondeterministic()(text_of(text)))

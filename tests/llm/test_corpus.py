@@ -196,9 +196,11 @@ def test_tokens_equal_the_library():
     tokenizer = Tokenizer.from_str(queries.tokenizer_spec())
     tokenizer.encode_special_tokens = True
     texts = ["", " ", "  a", "a  b", "a \n b", "a\n  b ", "x\xa0 y", "\u2003 z \x1c w", "it's  '' 's", "end <|endoftext|> x", " lead", "trail "]
-    codes = packing.encode_texts(texts, tokenizer, {})
-    assert [np.frombuffer(c, "<u4").tolist() for c in codes] == [
-        tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += [r[1] or "" for r in TEXTS] + ["".join(map(chr, range(0x250))), "日本 a\u0378b", "x" * 5000]
+    for fast in ({}, queries.same_ranks()):
+        encode = packing.text_encoder(queries.tokenizer_spec(), **fast)
+        assert [encode(t).tolist() for t in texts] == [
+            tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_urls(spark):
