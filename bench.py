@@ -74,7 +74,7 @@ def main():
         "top_products_by_plant": lambda: ranking.top_products_by_plant(m),
         "search_movements": lambda: filters.search_movements(
             m, "1999-01-01", "2001-12-31", ["PLANT_1", "PLANT_2"],
-            ["OUTBOUND", "RTP", "RETURN"], batch="0_"),
+            ["OUTBOUND", "RTP", "RETURN"], batch="0_", limit=5000),
         "datetime_range": lambda: filters.datetime_range_filter(
             m, "2000-05-02 10:30:00", "2000-05-20 15:00:00"),
         "outbound_shipments": lambda: filters.outbound_shipments(

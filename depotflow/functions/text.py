@@ -24,12 +24,12 @@ def like_text(col, text):
 
 
 def parse_coord(col):
-    """`"lon,lat"` text as a struct (lat, lon); both NULL unless both parse."""
+    """`"lon,lat"` text as a struct (lat, lon); both NULL unless both are finite degrees in range."""
     col = F.col(col) if isinstance(col, str) else col
     parts = F.split(col, ",")
     lon = F.try_element_at(parts, F.lit(1)).try_cast("double")
     lat = F.try_element_at(parts, F.lit(2)).try_cast("double")
-    usable = lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)
+    usable = (F.abs(lon) <= 180) & (F.abs(lat) <= 90)  # NaN is above every number
     return F.struct(F.when(usable, lat).alias("lat"), F.when(usable, lon).alias("lon"))
 
 

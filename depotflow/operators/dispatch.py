@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.bounded import fits, inline_rows
+from ..functions.bounded import inline_rows
 from ..functions.geo import POSITION, geo_distance_km, position, with_nearest
 from ..functions.once import computed_once
-from ..functions.text import is_blank, parse_coord
+from ..functions.text import WHITE_SPACE, is_blank, parse_coord
 from ..schema import (
     BAG_LOAD, BOX_LOAD, DEFAULT_EFFICIENCY, DEFAULT_START, NO_ADDRESS, NOT_FOUND, UNASSIGNED)
 from .nearest import nearest_by_grid
@@ -58,7 +58,7 @@ def geocode_orders(orders, geo):
     that match nothing, since a NULL key would bring them all into one task.
     """
     first = F.min(F.struct("hit", "coord"))["coord"] if "hit" in geo.columns else F.min("coord")
-    known = geo.groupBy(F.btrim("address").alias("geo_key")).agg(first.alias("geo_coord"))
+    known = geo.groupBy(F.btrim("address", F.lit(WHITE_SPACE)).alias("geo_key")).agg(first.alias("geo_coord"))
     blank = is_blank(F.col("address"))
     coord = (
         F.when(blank, NO_ADDRESS)
@@ -66,7 +66,7 @@ def geocode_orders(orders, geo):
         .otherwise(F.col("geo_coord")))
     scattered = F.concat(F.lit("\x01"), F.xxhash64(*orders.columns).cast("string"))
     keyed = orders.withColumn(
-        "geo_key", F.when(blank, scattered).otherwise(F.btrim("address"))).drop("coord")
+        "geo_key", F.when(blank, scattered).otherwise(F.btrim("address", F.lit(WHITE_SPACE)))).drop("coord")
     return keyed.join(known, "geo_key", "left").withColumn("coord", coord).drop(
         "geo_key", "geo_coord")
 
@@ -74,14 +74,14 @@ def geocode_orders(orders, geo):
 def zone_candidates(orders, zones, max_inline=INLINE_MAX_FLEET):
     """(order_id, vehicle_id) for every vehicle with a zone keyword inside the address.
 
-    Orders matching no zone keep one row with a NULL vehicle.
+    `max_inline` above 0 carries the zones along and bounds them; 0 uses joins. Orders matching no zone keep one row with a NULL vehicle.
     """
-    if not fits(zones, max_inline):
+    if not max_inline:
         pairs = _address_candidates(orders, zones)
         return orders.select("order_id", "address").join(pairs, "address", "left").select(
             "order_id", "vehicle_id")
     zone_rows = orders.select("order_id", "address", inline_rows(
-        zones, "vehicle_id", "keyword").alias("zones"))
+        zones, "vehicle_id", "keyword", most=max_inline).alias("zones"))
     hits = F.filter("zones", lambda z: F.contains(F.col("address"), z["keyword"]))
     ids = F.array_distinct(F.transform(hits, lambda z: z["vehicle_id"]))
     return zone_rows.select("order_id", F.explode_outer(ids).alias("vehicle_id"))
@@ -112,13 +112,20 @@ def assign_vehicles(orders, vehicles, zones, max_inline=INLINE_MAX_FLEET):
     all vehicles are. Ties go to the lowest id. `assign_phase` tells the cases
     apart: 1 one candidate, 2 several, 3 none.
 
-    A fleet of ordinary size rides along as one array and the whole operator is
-    a projection. Larger fleets are matched by joins.
+    With `max_inline` above 0 a fleet of at most so many vehicles rides along as one array and
+    the whole operator is a projection; a larger fleet is an error. With 0 any fleet
+    is matched by joins. Both give the same rows, also where ids of orders restart each day; an
+    empty fleet gives none. An order is (scenario_id, route_day, order_id), as far as present.
     """
     located = only_located(orders)
-    if fits(vehicles, max_inline) and fits(zones, max_inline):
-        return _assign_inline(located, vehicles, zones)
-    return _assign_by_join(located, vehicles, zones)
+    if max_inline:
+        return _assign_inline(located, vehicles, zones, max_inline)
+    return assign_by_join(located, vehicles, zones)
+
+
+def order_keys(*frames):
+    """Columns that identify an order in all frames."""
+    return [c for c in ("scenario_id", "route_day", "order_id") if all(c in f.columns for f in frames)]
 
 
 def only_located(orders):
@@ -134,8 +141,8 @@ def with_zone_keywords(vehicles, zones):
         *[c.alias(n) for n, c in position(*START).items()])
 
 
-def _assign_inline(located, vehicles, zones):
-    fleet = inline_rows(with_zone_keywords(vehicles, zones), *FLEET_FIELDS)
+def _assign_inline(located, vehicles, zones, most):
+    fleet = inline_rows(with_zone_keywords(vehicles, zones), *FLEET_FIELDS, most=most)
     return assign_from_fleet(located.withColumn("fleet", fleet)).drop("fleet")
 
 
@@ -146,7 +153,7 @@ def assign_from_fleet(orders):
 
     zoned = F.size("pool")
     matched = (
-        orders
+        orders.where(F.size("fleet") > 0)
         .withColumn("pool", F.filter("fleet", in_zone))
         .withColumn("assign_phase", F.when(zoned == 0, 3).when(zoned == 1, 1).otherwise(2))
         .withColumn("pool", F.when(zoned == 0, F.col("fleet")).otherwise(F.col("pool"))))
@@ -161,29 +168,39 @@ def assign_from_fleet(orders):
         F.col("depot.lon").alias("start_lon"))
 
 
-def _assign_by_join(located, vehicles, zones):
-    depots = vehicles.select("vehicle_id", *START)
-    points = located.select("order_id", "address", "lat", "lon")
+def assign_by_join(located, vehicles, zones):
+    """Assignment by equi-joins; a `scenario_id` on both sides belongs to every key."""
+    by = [c for c in ("scenario_id",) if c in vehicles.columns]
+    order = order_keys(located)
+    depots = vehicles.select(*by, "vehicle_id", *START)
+    points = located.select(*order, "address", "lat", "lon").distinct()
     fleet_zones = zones.join(depots.select("vehicle_id"), "vehicle_id", "left_semi")
     pairs = points.join(_address_candidates(located, fleet_zones), "address")
     km = geo_distance_km("start_lat", "start_lon", "lat", "lon")
     zoned = (
-        pairs.join(depots, "vehicle_id")
-        .groupBy("order_id")
+        pairs.join(depots, [*by, "vehicle_id"])
+        .groupBy(*order)
         .agg(F.min(F.struct(km.alias("km"), "vehicle_id")).alias("best"),
              F.when(F.count("*") == 1, 1).otherwise(2).alias("assign_phase")))
-    rest = points.join(zoned, "order_id", "left_anti")
-    free = nearest_by_grid(rest, depots).withColumn("assign_phase", F.lit(3))
+    rest = points.join(zoned, order, "left_anti")
+    free = nearest_by_grid(rest, depots, order, by).withColumn("assign_phase", F.lit(3))
     best = zoned.unionByName(free).select(
-        "order_id", "best.vehicle_id", F.col("best.km").alias("distance_km"), "assign_phase")
-    return located.join(best, "order_id").join(depots, "vehicle_id").select(
+        *order, "best.vehicle_id", F.col("best.km").alias("distance_km"), "assign_phase")
+    return located.join(best, order).join(depots, [*by, "vehicle_id"]).select(
         *located.columns, "vehicle_id", "distance_km", "assign_phase", *START)
 
 
 def dispatch_detail(orders, stops, vehicles):
-    """All orders with vehicle name and arrival time; orders without a stop say so."""
-    planned = stops.select("order_id", "vehicle_id", "seq", "eta").join(
+    """All orders with vehicle name and arrival time; orders without a stop say so.
+
+    Orders and stops meet on every key that both have: scenario, day, order id.
+    Stops of several scenarios need orders with a `scenario_id`.
+    """
+    if "scenario_id" in stops.columns and "scenario_id" not in orders.columns:
+        raise ValueError("stops of scenarios need orders with a scenario_id")
+    keys = order_keys(orders, stops)
+    planned = stops.select(*keys, "vehicle_id", "seq", "eta").join(
         vehicles.select("vehicle_id", "vehicle_name"), "vehicle_id", "left")
-    return orders.join(planned, "order_id", "left").withColumns({
+    return orders.join(planned, keys, "left").withColumns({
         "vehicle_name": F.coalesce("vehicle_name", F.lit(UNASSIGNED)),
         "eta": F.coalesce("eta", F.lit(""))})

@@ -72,8 +72,8 @@ def datetime_range_filter(m, start_dt, end_dt):
 
 
 def search_movements(m, start=None, end=None, plants=None, move_types=None, batch=None,
-                     ref_no=None, partner=None, product=None, limit=5000):
-    """All given conditions together, newest first, `limit` rows at most (None: all)."""
+                     ref_no=None, partner=None, product=None, limit=None):
+    """All given conditions together, newest first, all rows or the first `limit`."""
     found = date_range_filter(m, start, end)
     found = in_filter(found, "plant_code", plants)
     found = in_filter(found, "move_type", move_types)

@@ -51,11 +51,16 @@ def monthly_pivot(monthly, measure, plants=None):
     """One row per month, one column per plant, gaps as 0.
 
     The plant list is part of the call, so the columns do not depend on the
-    data and no extra job looks them up.
+    data and no extra job looks them up. A caller's list chooses plants; without one the known
+    plants are taken and any other plant is an error.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")
-    plants = plants or PLANTS
+    if not plants:
+        plants = PLANTS
+        unknown = F.raise_error(F.concat(F.lit("plant outside the known list: "), F.col("plant_code")))
+        monthly = monthly.withColumn("plant_code", F.when(
+            F.col("plant_code").isNull() | F.col("plant_code").isin(*plants), F.col("plant_code")).otherwise(unknown))
     wide = monthly.groupBy("year_month").pivot("plant_code", plants).agg(F.sum(measure))
     return wide.na.fill(0, subset=plants).orderBy("year_month")
 

@@ -4,6 +4,8 @@ Everything is a column expression built in named steps, so it runs on batch and
 streaming frames alike.
 """
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.once import computed_once
@@ -45,7 +47,7 @@ def _cut(text, start, length=None):
 
 def _codes(codes):
     """Pattern of texts with one of the product codes in its place, from the start."""
-    return f"(?s)^(.{{3}}(?:{'|'.join(codes)}))" if codes else "$^"
+    return f"(?s)^(.{{3}}(?:{'|'.join(map(re.escape, codes))}))" if codes else "$^"
 
 
 def repair_scans(scans, missing_mark=None, excess_codes=None):

@@ -52,8 +52,7 @@ fleet AS (
   FROM vehicles WHERE {where})"""
 
 
-FIRST = f"vehicle_id IN (SELECT vehicle_id FROM vehicles ORDER BY vehicle_id LIMIT {FLEET_SIZE})"
-FLEET = _fleet(FIRST)
+FLEET = _fleet()
 ASSIGNED = f"""
 pairs AS (
   SELECT DISTINCT o.order_id, f.vehicle_id FROM points o
@@ -142,13 +141,13 @@ def located(t):
     return dispatch.locate(t.delivery_orders)
 
 
-def first_vehicles(t):
-    """The fleet of one depot: the first vehicles of the list, with defaults."""
-    return dispatch.with_vehicle_defaults(limit_rows(t.vehicles, FLEET_SIZE, "vehicle_id"))
+def whole_fleet(t):
+    """All vehicles, with defaults."""
+    return dispatch.with_vehicle_defaults(t.vehicles)
 
 
 def assigned(t):
-    return dispatch.assign_vehicles(located(t), first_vehicles(t), t.vehicle_zone)
+    return dispatch.assign_vehicles(located(t), whole_fleet(t), t.vehicle_zone)
 
 
 def planned(t):
@@ -156,12 +155,12 @@ def planned(t):
 
 
 def summarised(t):
-    return routing.route_summary(planned(t), first_vehicles(t))
+    return routing.route_summary(planned(t), whole_fleet(t))
 
 
 def relief(t):
     """Pairs of vehicles for the gap report: each may hand stops to the one before it."""
-    ids = first_vehicles(t).select(F.col("vehicle_id").alias("busy_id"))
+    ids = whole_fleet(t).select(F.col("vehicle_id").alias("busy_id"))
     return ids.where(F.col("busy_id") > 0).withColumn("idle_id", F.col("busy_id") - 1)
 
 
@@ -283,7 +282,7 @@ SELECT o.*, s.vehicle_id, s.seq, COALESCE(f.vehicle_name, 'UNASSIGNED') AS vehic
        COALESCE(s.eta, '') AS eta
 FROM points o LEFT JOIN stops s USING (order_id) LEFT JOIN fleet f ON f.vehicle_id = s.vehicle_id"""))
 def _(t):
-    return dispatch.dispatch_detail(located(t), planned(t), first_vehicles(t))
+    return dispatch.dispatch_detail(located(t), planned(t), whole_fleet(t))
 
 
 GAP = """gaps AS (
@@ -323,7 +322,7 @@ WHERE k = 1""", RELIEF, GAP)
 
 
 def _transfers(t, max_km=None):
-    fleet = first_vehicles(t)
+    fleet = whole_fleet(t)
     stops = plan_stops(
         t.delivery_orders, fleet, t.vehicle_zone, fresh_path(t.spark, "transfers"))
     gaps = balance.workload_gap(routing.route_summary(stops, fleet), relief(t))
@@ -343,7 +342,7 @@ def _(t):
 
 def _starts(t):
     """Two what-ifs: every vehicle from the centre of the starts, and the fleet as it is."""
-    fleet = first_vehicles(t)
+    fleet = whole_fleet(t)
     center = dispatch.depot_center(fleet)
     lat, lon = center.select("lat").scalar(), center.select("lon").scalar()
     central = fleet.select(F.lit("central").alias("scenario_id"), "vehicle_id",
@@ -379,5 +378,5 @@ SELECT {_round(['km', 'minutes'])} FROM summary""", [
     LOCATED, FLEET, SCENARIO_ASSIGNED, _walk(("scenario_id", *ROUTE)),
     _summary(["scenario_id", "route_day"])], recursive=True))
 def _(t):
-    found = routing.depot_scenarios(located(t), first_vehicles(t), t.vehicle_zone, _starts(t))
+    found = routing.depot_scenarios(located(t), whole_fleet(t), t.vehicle_zone, _starts(t))
     return _rounded(found, "km", "minutes")

@@ -1,8 +1,7 @@
-"""Demand forecast queries. The SQL states them as one subquery per window and joins."""
+"""Demand forecast queries. The SQL states them as filtered aggregates over literal windows."""
 
 import datetime as dt
 
-from ..functions.calendar import forecast_windows
 from ..operators.forecast import KEY_ITEMS, demand_forecast, forecast_scenarios
 from .registry import query, sql_with
 
@@ -10,44 +9,48 @@ AS_OF = dt.date(2001, 6, 15)
 SCENARIO_LOOKBACKS = (1, 2, 3, 4, 5, 6)
 
 
-def _forecast_sql(lookbacks, hybrids, drop="", partners=None, recent="AVG(qty)"):
-    """Every window as its own subquery, joined on partner and product."""
-    starts = [(n, *forecast_windows(AS_OF, n)["recent"]) for n in lookbacks]
-    windows = ", ".join(f"({n}, DATE '{a}', DATE '{b}')" for n, a, b in starts)
-    settings = ", ".join(f"({h})" for h in hybrids)
-    chosen = f"AND partner_name IN {tuple(partners)}" if partners else ""
-    year, month = AS_OF.year, AS_OF.month
-    key = ("lookback", "partner_name", "product_name")
-
-    def first(*sides):
-        return {k: f"COALESCE({', '.join(f'{s}.{k}' for s in sides)})" for k in key}
+#: First day of the window of recent months before June 2001, by its number of months.
+RECENT_FROM = {1: "2001-05-01", 2: "2001-04-01", 3: "2001-03-01", 4: "2001-02-01", 5: "2001-01-01", 6: "2000-12-01"}
+RECENT = "move_date >= since AND move_date < DATE '2001-06-01'"
+YEAR_AGO = "move_date >= DATE '2000-06-01' AND move_date < DATE '2000-07-01'"
+THIS_MONTH = "move_date >= DATE '2001-06-01' AND move_date < DATE '2001-07-01'"
 
-    def joined(side, *sides):
-        return " AND ".join(f"{v} = {side}.{k}" for k, v in first(*sides).items())
 
-    keys = ", ".join(f"{v} AS {k}" for k, v in first("r", "l", "c").items())
+def _forecast_sql(lookbacks, hybrids, drop="", partners=None, recent="AVG(qty) FILTER ({})"):
+    """Named products are one group with a filtered aggregate for each window; unnamed ones a row for each window."""
+    windows = ", ".join(f"({n}, DATE '{RECENT_FROM[n]}')" for n in lookbacks)
+    settings = ", ".join(f"({h})" for h in hybrids)
+    chosen = f"AND partner_name IN {tuple(partners)}" if partners else ""
+    measures = {"recent_qty": (RECENT, recent.format(f"WHERE {RECENT}")),
+                "year_ago_qty": (YEAR_AGO, f"SUM(qty) FILTER (WHERE {YEAR_AGO})"),
+                "month_qty": (THIS_MONTH, f"SUM(qty) FILTER (WHERE {THIS_MONTH})")}
+
+    def unnamed(name):
+        window, value = measures[name]
+        columns = ", ".join(f"{value if m == name else 'NULL'} AS {m}" for m in measures)
+        return f"""SELECT lookback, partner_name, NULL AS product_name, {columns}, NULL AS price
+  FROM outgoing WHERE product_name IS NULL AND {window} GROUP BY lookback, partner_name"""
+
+    named = ", ".join(f"{value} AS {m}" for m, (_, value) in measures.items())
+    rows = " UNION ALL ".join(map(unnamed, measures))
     ctes = [
-        f"win(lookback, a, b) AS (VALUES {windows})",
         f"setting(hybrid) AS (VALUES {settings})",
-        f"""sales AS MATERIALIZED (SELECT * FROM movement
+        f"""outgoing AS MATERIALIZED (
+  SELECT m.*, w.* FROM movement m, (VALUES {windows}) AS w(lookback, since)
   WHERE move_type = 'OUTBOUND' AND partner_name IS NOT NULL {chosen})""",
-        f"""r AS (SELECT lookback, partner_name, product_name, {recent} AS v
-  FROM win JOIN sales ON move_date BETWEEN a AND b GROUP BY ALL)""",
-        f"""l AS (SELECT lookback, partner_name, product_name, SUM(qty) AS v FROM win, sales
-  WHERE YEAR(move_date) = {year - 1} AND MONTH(move_date) = {month} GROUP BY ALL)""",
-        f"""c AS (SELECT lookback, partner_name, product_name, SUM(qty) AS v FROM win, sales
-  WHERE YEAR(move_date) = {year} AND MONTH(move_date) = {month} GROUP BY ALL)""",
-        """p AS (SELECT lookback, partner_name, product_name, AVG(amount / NULLIF(qty, 0)) AS v
-  FROM win, sales WHERE qty > 0 GROUP BY ALL)""",
-        f"""inputs AS (
-  SELECT {keys},
-         CAST(ROUND(COALESCE(r.v, 0), 1) AS DOUBLE) AS avg_recent,
-         CAST(COALESCE(l.v, 0) AS DOUBLE) AS last_year_qty,
-         CAST(COALESCE(c.v, 0) AS DOUBLE) AS current_qty,
-         ROUND(COALESCE(p.v, 0), 0) AS unit_price
-  FROM r FULL OUTER JOIN l ON {joined('l', 'r')}
-  FULL OUTER JOIN c ON {joined('c', 'r', 'l')}
-  LEFT JOIN p ON {joined('p', 'r', 'l', 'c')})""",
+        f"""seen AS (
+  SELECT lookback, partner_name, product_name, {named},
+         AVG(amount / qty) FILTER (WHERE qty > 0) AS price
+  FROM outgoing WHERE product_name IS NOT NULL GROUP BY lookback, partner_name, product_name
+  HAVING COUNT(*) FILTER (WHERE ({RECENT}) OR ({YEAR_AGO}) OR ({THIS_MONTH})) > 0
+  UNION ALL {rows})""",
+        """inputs AS (
+  SELECT lookback, partner_name, product_name,
+         CAST(ROUND(COALESCE(recent_qty, 0), 1) AS DOUBLE) AS avg_recent,
+         CAST(COALESCE(year_ago_qty, 0) AS DOUBLE) AS last_year_qty,
+         CAST(COALESCE(month_qty, 0) AS DOUBLE) AS current_qty,
+         ROUND(COALESCE(price, 0), 0) AS unit_price
+  FROM seen)""",
         """forecast AS (
   SELECT *, ROUND_EVEN(CASE WHEN NOT hybrid OR last_year_qty = 0 THEN avg_recent
          ELSE avg_recent * 0.4 + last_year_qty * 0.6 END, 1) AS forecast_qty
@@ -86,7 +89,7 @@ def _(t):
 
 
 @query("demand_forecast_monthly_basis", "F1 A5", _forecast_sql(
-    [3], [False], ONE, recent="SUM(qty) / 3"))
+    [3], [False], ONE, recent="SUM(qty) FILTER ({}) / 3"))
 def _(t):
     return demand_forecast(t.movement, AS_OF, recent_basis="month")
 

@@ -10,7 +10,7 @@ from ..schema import MOVE_TYPE_LABELS, MOVEMENT_HEADERS, NAME_COLUMNS, SCAN
 from ..session import fresh_path
 from ..sources import movement, sinks, tables
 from ..streaming import scans as streams
-from .dispatch_queries import DELIVERY, PLAN, _rounded, first_vehicles
+from .dispatch_queries import DELIVERY, PLAN, _rounded, whole_fleet
 from .workflows import dispatch_plan
 from .registry import query, sql_with
 from .scan_queries import CLASSIFIED, EXTRACTED, FIXED
@@ -77,7 +77,7 @@ FROM summary s JOIN (SELECT route_day, COUNT(*) AS located_orders FROM points
     PLAN, recursive=True))
 def _(t):
     path = fresh_path(t.spark, "dispatch")
-    dispatch_plan(t.delivery_orders, first_vehicles(t), t.vehicle_zone, path)
+    dispatch_plan(t.delivery_orders, whole_fleet(t), t.vehicle_zone, path)
     days = t.spark.read.parquet(f"{path}/detail").groupBy("route_day").agg(
         F.count("vehicle_id").alias("located_orders"))
     summary = t.spark.read.parquet(f"{path}/summary")

@@ -77,7 +77,7 @@ LIMIT 5000"""))
 def _(t):
     return f.search_movements(
         t.movement, "1999-01-01", "2001-12-31", ["PLANT_1", "PLANT_2"],
-        ["OUTBOUND", "RTP", "RETURN"], batch="0_")
+        ["OUTBOUND", "RTP", "RETURN"], batch="0_", limit=5000)
 
 
 @query("search_movements_all_filters", "P6 P9", over_movement("""

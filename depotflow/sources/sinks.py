@@ -6,7 +6,8 @@ MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def write_csv(df, path):
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with a header; quotes inside quoted text are doubled, as other readers expect."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_orders(df, path):

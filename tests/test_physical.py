@@ -46,7 +46,7 @@ def test_only_needed_columns_are_read(landed):
 
 def test_top_lists_are_cut_inside_tasks(landed):
     assert "TakeOrderedAndProject" in plan_of(ranking.top_products(landed, "OUTBOUND", "PLANT_0"))
-    assert "TakeOrderedAndProject" in plan_of(filters.search_movements(landed))
+    assert "TakeOrderedAndProject" in plan_of(filters.search_movements(landed, limit=5000))
     assert "WindowGroupLimit" in plan_of(ranking.top_products_by_plant(landed))
 
 
