@@ -94,8 +94,9 @@ def repeated_lines(docs, id="doc_id", text="text", min_words=50):
     starts = write_shared(starts.join(ends, ["doc", "th", "at"]).select(
         "doc", "th", "p", "m", "head", F.element_at("tail_ranks", F.col("k") + 1).alias("tail")), "starts")
     interval = ["m", "head", "tail"]
-    firsts = starts.groupBy(*interval).agg(F.min(F.struct("doc", "th", "p")).alias("first"), F.count("*").alias("n")) \
-        .where("n > 1").drop("n")
+    # Written, so that the join reads two plain shuffles and a hot interval is split.
+    firsts = write_shared(starts.groupBy(*interval).agg(
+        F.min(F.struct("doc", "th", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     copies = starts.join(firsts, interval).where(F.struct("doc", "th", "p") != F.col("first"))
     copied = copies.select("doc", "th", F.explode(F.expr("sequence(p, p + cast(m as int) - 1)")).alias("p")).distinct()
     return copied.join(rows, ["doc", "th", "p"]).select("doc", "th", "i")
