@@ -28,13 +28,19 @@ def match_returns(scans, return_list, stock):
     """Return lines with their scanned and stocked quantity, and unlisted scans.
 
     `scans` has the extracted GS1 fields; scans without a product code or batch
-    cannot match a line and are left out.
+    cannot match a line: `unmatched_scans` reports them.
     """
     usable = scans.where(F.col("gtin").isNotNull() & F.col("batch").isNotNull())
     counts = usable.groupBy(*KEY).agg(F.count("*").alias("scanned_qty"))
     return match_counts(counts, return_list, stock)
 
 
+def unmatched_scans(scans):
+    """Scans that no return line can match, with the reason; with the counted ones these are all scans."""
+    reason = F.when(F.col("gtin").isNull(), "NO_PRODUCT_CODE").when(F.col("batch").isNull(), "NO_BATCH")
+    return scans.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def completed_returns(matched):
     """Listed lines scanned in full."""
     return matched.where(

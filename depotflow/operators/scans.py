@@ -28,6 +28,10 @@ UNIT_PREFIXES = ["01088", "88", "3"]
 COMPOSITE_MIN_INDEX = 18
 
 _GS = "\x1d"
+# Fields of a set length in the public GS1 table, and those that a separator ends.
+_FIXED_FIELDS = (("17", "17[0-9]{6}"), ("", "1[1-68-9][0-9]{6}"), ("", "20[0-9]{2}"),
+                 ("", "3[1-6][0-9]{8}"), ("", "41[0-9]{14}"))
+_OPEN_FIELDS = ("10", "21", "2[2-9]", "3[0789]", "4[02-9]", "[5-9][0-9]")
 
 
 def _any(conditions):
@@ -145,13 +149,21 @@ def extract_gs1(scans, missing_mark=None, excess_codes=None):
 
     Reads the repaired text as a sequence of fields: 01 with 14 digits (the
     first is the packing level), 17 with 6 digits, and 10 and 21 which run to
-    the next separator or the end. A bare 13-digit code counts as a product code.
+    the next separator or the end. Other fields in front of a wanted one are passed
+    over, by their fixed length or up to the next separator. Separators and a symbology
+    prefix in front of the text are ignored. A bare 13-digit code counts as a product code.
     """
     start = "^01[0-9]{14}"
     product = "(?:^01[0-9]|^(?=[0-9]{13}$))([0-9]{13})"
-    batch = f"{start}(?:17[0-9]{{6}}{_GS}?|21[^{_GS}]*{_GS})*10([^{_GS}]+)"
-    serial = f"{start}(?:17[0-9]{{6}}{_GS}?|10[^{_GS}]*{_GS})*21([^{_GS}]+)"
-    expiry = f"{start}(?:(?:10|21)[^{_GS}]*{_GS})*17([0-9]{{6}})"
+
+    def behind_others(ai, value):
+        fixed = "|".join(f for a, f in _FIXED_FIELDS if a != ai)
+        open_ = "|".join(a for a in _OPEN_FIELDS if a != ai)
+        return f"{start}(?:(?:{fixed}){_GS}?|(?:{open_})[^{_GS}]*{_GS})*{ai}({value})"
+
+    batch = behind_others("10", f"[^{_GS}]+")
+    serial = behind_others("21", f"[^{_GS}]+")
+    expiry = behind_others("17", "[0-9]{6}")
 
     def found(pattern):
         return F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
@@ -163,7 +175,8 @@ def extract_gs1(scans, missing_mark=None, excess_codes=None):
     date = F.when(day == "00", F.last_day(F.concat(month, F.lit("01")).try_cast("date"))).otherwise(
         F.concat(month, day).try_cast("date"))
     separated = repair_scans(scans, missing_mark, excess_codes).withColumn(
-        "text", F.regexp_replace("repaired", r"(?i)\]d2|<gs>|\[gs\]", _GS))
+        "text", F.regexp_replace("repaired", r"(?i)\]d2|<gs>|\[gs\]", _GS)).withColumn(
+        "text", F.regexp_replace("text", rf"^(?:{_GS}|\][A-Za-z][0-9])+", ""))
     fields = computed_once(separated, {
         "gtin": found(product), "batch": found(batch), "yymmdd": found(expiry),
         "serial": found(serial)})

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_range
 from ..operators import dispatch
-from ..operators.filters import date_range_filter, search_movements
+from ..operators.filters import date_range_filter
 from ..operators.returns import KEY
 from ..schema import MOVE_TYPE_LABELS, MOVEMENT_HEADERS, NAME_COLUMNS, SCAN
 from ..session import fresh_path
@@ -61,12 +61,14 @@ def _(t):
     return tables.detect_name_column(t.delivery_orders.select("order_id"), row="order_id")
 
 
-@query("write_csv", "S5", sql_with(["movement"], """
-SELECT * FROM movement WHERE move_type = 'RETURN' AND batch LIKE '%7%'"""))
+@query("write_csv", "S2 S3 S5 X9", sql_with(["movement"], "SELECT * FROM movement"))
 def _(t):
-    path = fresh_path(t.spark, "search")
-    found = search_movements(t.movement, move_types=["RETURN"], batch="7", limit=None)
-    sinks.write_csv(found, path)
+    """The whole table as an extract with foreign headers, labels and timestamps, read back."""
+    path = fresh_path(t.spark, "extract")
+    labels = {code: label for label, code in MOVE_TYPE_LABELS.items()}
+    extract = t.movement.withColumn("move_date", F.date_format("move_date", "yyyy-MM-dd HH:mm:ss"))
+    sinks.write_csv(extract.replace(labels, subset=["move_type"]).withColumnsRenamed(
+        {v: k for k, v in MOVEMENT_HEADERS.items()}), path)
     return movement.read_extract(t.spark, path)
 
 

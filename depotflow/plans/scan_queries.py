@@ -125,6 +125,13 @@ def _(t):
     return _matched(t)
 
 
+@query("unmatched_scans", "J7", sql_with(["scans"], """
+SELECT *, CASE WHEN gtin IS NULL THEN 'NO_PRODUCT_CODE' ELSE 'NO_BATCH' END AS reason
+FROM extracted WHERE gtin IS NULL OR batch IS NULL""", [FIXED, EXTRACTED]))
+def _(t):
+    return returns.unmatched_scans(scans.extract_gs1(t.scans))
+
+
 @query("completed_returns", "J8", _over_returns(
     "SELECT * FROM matched WHERE status = 'COMPLETE'"))
 def _(t):

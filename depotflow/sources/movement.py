@@ -15,9 +15,14 @@ def read_movement(spark, path, landed=True):
 
 
 def read_extract(spark, path):
-    """Movement rows exported as CSV files with a header."""
-    return spark.read.schema(MOVEMENT).option("header", True).option("enforceSchema", False).csv(
-        path)
+    """Movement rows exported as CSV files with a header, in the extract's or our own names.
+
+    Headers may come in any order; headers and labels are translated. A date
+    may carry a time of day, which is cut off. A missing column or an unreadable value raises.
+    """
+    text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    named = standardise_movement(text)
+    return named.select(*[named[f.name].cast(f.dataType).alias(f.name) for f in MOVEMENT])
 
 
 def standardise_movement(df):

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from depotflow.operators import scans
+from depotflow.operators import returns, scans
 
 SAME = object()
 VECTORS = [
@@ -98,3 +98,21 @@ def test_gs1_fields(spark, case):
     df = spark.createDataFrame([(case[0],)], "raw string")
     row = scans.extract_gs1(df).collect()[0]
     assert (row.gtin, row.batch, row.expiry, row.serial) == case[1:]
+
+
+GS = "\x1d"
+CODE = "0108801234567890"
+
+
+@pytest.mark.parametrize("raw, batch, day", [
+    (f"]d2{CODE}17250131" + "10AB7", "AB7", "2025-01-31"),
+    (f"{GS}{CODE}10AB7{GS}17250131", "AB7", "2025-01-31"),
+    (f"]C1{CODE}11240131" + "17250131" + "10AB7", "AB7", "2025-01-31"),
+    (f"{CODE}240X1{GS}3103000750" + "17250131" + f"21S9{GS}10AB7", "AB7", "2025-01-31"),
+    (f"{CODE}11240131", None, None),
+])
+def test_gs1_other_fields(spark, raw, batch, day):
+    df = scans.extract_gs1(spark.createDataFrame([(raw,)], "raw string"))
+    row = df.collect()[0]
+    assert (row.gtin, row.batch, row.expiry and str(row.expiry)) == ("8801234567890", batch, day)
+    assert returns.unmatched_scans(df).count() == (batch is None)

@@ -152,3 +152,20 @@ def test_stock_sheets(spark):
     assert full.columns[-3:] == ["counted_by", "keyed_by", "approved_by"] and full.count() == 4
     with pytest.raises(ValueError):
         stock_sheet(stock, "other")
+
+
+def test_extract_with_its_own_headers(spark, tmp_path):
+    from depotflow.schema import MOVE_TYPE_LABELS, MOVEMENT, MOVEMENT_HEADERS
+    label, code = next(iter(MOVE_TYPE_LABELS.items()))
+    value = {"move_date": "2001-06-15 08:30:00", "move_type": label, "qty": "3", "amount": "40",
+             "partner_name": '"A ""b"",\nC"'}
+    headers = list(MOVEMENT_HEADERS)[::-1]
+    row = ",".join(value.get(MOVEMENT_HEADERS[h], "") for h in headers)
+    (tmp_path / "extract.csv").write_text(",".join(headers) + "\n" + row + "\n", encoding="utf-8")
+    found = movement.read_extract(spark, str(tmp_path / "extract.csv"))
+    assert found.schema.fieldNames() == MOVEMENT.fieldNames()
+    row = found.first()
+    assert (str(row.move_date), row.move_type, row.qty, row.amount, row.partner_name, row.batch) == (
+        "2001-06-15", code, 3, 40, 'A "b",\nC', None)
+    movement.land_movement(found, str(tmp_path / "landed"))
+    assert movement.read_movement(spark, str(tmp_path / "landed")).first().move_month == "2001-06"
