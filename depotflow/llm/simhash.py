@@ -119,6 +119,8 @@ def near_duplicates(docs, id="doc_id", text="text", shingle=3, radius=3):
 
 SAMPLES = 16
 SAMPLE_SIZE = 3
+# Nodes of a bucket for each of the keys that its pairs are dealt over.
+DEAL = 500
 
 
 def _sets(text, shingle):
@@ -153,8 +155,10 @@ def similar_groups(docs, id="doc_id", text="text", shingle=5, similarity=0.8):
     those of samples are equal or not.
 
     Texts with equal sets are one node. Candidates are tied to the smallest node
-    of their group first; only nodes that this leaves untied are paired among
-    themselves, and only if sizes allow the similarity. All pairs
+    of their bucket first, then to the hub, the node of the bucket with most links so far.
+    Two nodes of a bucket that are still in different parts are not both in the hub's part:
+    every node outside that part, a loose one, is paired with all nodes of the bucket in other parts, if sizes
+    allow the similarity. So no pair that shares a bucket is left out unless its nodes are already linked. All pairs
     are verified on the shingle sets, which are made for candidates only.
     Null and wordless texts are one group. Null ids count as the largest.
     """
@@ -206,16 +210,33 @@ def similar_groups(docs, id="doc_id", text="text", shingle=5, similarity=0.8):
             jaccard("set_a", "set_b") >= similarity).select("a", "b"), "verified")
 
     stars = verified(seated.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    ends = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node")))
+    known = seated.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left").select(
+        "sample", "key", "node", F.coalesce("links", F.lit(0)).alias("links"))
+    hubs = known.groupBy("sample", "key").agg(F.max(F.struct("links", -F.col("node"))).alias("top")).select(
+        "sample", "key", (-F.col("top.col2")).alias("hub"))
+    seated = write_shared(seated.join(hubs, ["sample", "key"]), "hubs")
+    spokes = verified(seated.where("node != hub and head != hub and node != head").select(
+        F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct().join(
+        stars, ["a", "b"], "left_anti"))
+    stars = stars.unionAll(spokes)
     tied = components(stars)
     named = seated.join(tied, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    heads = tied.select(F.col("node").alias("head"), F.col("root").alias("head_part"))
-    loose = write_shared(named.join(heads, "head", "left").where(
-        F.col("part") != F.coalesce("head_part", "head")).select("node", "size", "sample", "key", "part"), "loose")
-    left, right = loose.alias("l"), loose.alias("r")
-    more = left.join(right, F.expr(f"""l.sample = r.sample and l.key = r.key and l.node > r.node and l.part != r.part
+    centres = tied.select(F.col("node").alias("hub"), F.col("root").alias("hub_part"))
+    named = write_shared(named.join(centres, "hub", "left").select(
+        "node", "size", "sample", "key", "part", (F.col("part") != F.coalesce("hub_part", "hub")).alias("loose")), "parts")
+    # Only buckets with a loose node have pairs left; those of many nodes are dealt over several keys.
+    open_ = named.groupBy("sample", "key").agg(F.count("*").alias("n"), F.max("loose").alias("any")).where("any")
+    dealt = open_.select("sample", "key", F.expr(f"cast(ceil(n / {DEAL}) as int)").alias("deals"))
+    left = write_shared(named.where("loose").join(dealt, ["sample", "key"]).withColumn(
+        "deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))), "loose").alias("l")
+    right = write_shared(named.join(dealt, ["sample", "key"]).withColumn(
+        "deal", F.pmod(F.xxhash64("node"), "deals").cast("int")), "dealt").alias("r")
+    more = left.join(right, F.expr(f"""l.sample = r.sample and l.key = r.key and l.deal = r.deal and l.part != r.part
+        and (l.node > r.node or not r.loose)
         and least(l.size, r.size) >= {similarity} * greatest(l.size, r.size)"""))
     linked = components(stars.unionAll(verified(more.select(
-        F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())))
+        F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct())))
     groups = write_shared(nodes.select("node", "same", "first").join(linked, "node", "left").withColumn(
         "root", F.coalesce("root", "node")), "groups")
     heads = groups.groupBy("root").agg(F.min("first").alias("head"))

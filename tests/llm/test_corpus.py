@@ -273,6 +273,32 @@ def test_similar(docs, none, spark):
     assert simhash.drop_similar(none).count() == 0
 
 
+def jaccard_roots(texts, similarity=0.8):
+    sets = [set(simhash._sets(t, 5).tolist()) for t in texts]
+    return reachable(len(texts), [(i, j) for i in range(len(texts)) for j in range(i)
+                                  if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])])
+
+
+def test_similar_star_of_variants(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for v in range(200):
+        words = list(base)
+        for at in rng.choice(80, 7, replace=False) * 5:
+            words[at + 2] = f"v{v}x{at}"
+        texts.append(" ".join(words))
+    texts[150:150] = [" ".join(base)]
+    texts += [" ".join(f"c{i // 40 * 40 if i < 360 else v}w{i}" for i in range(400)) for v in range(8)]
+    sets = [set(simhash._sets(t, 5).tolist()) for t in texts]
+    near = [len(x & sets[150]) / len(x | sets[150]) for x in sets[:201]]
+    assert 0.82 < min(near) and sum(len(sets[0] & x) >= 0.8 * len(sets[0] | x) for x in sets[1:201]) < 20
+    want = Counter(jaccard_roots(texts))
+    monkeypatch.setattr(simhash, "DEAL", 7, raising=False)
+    groups = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert Counter(r.first_id for r in groups.collect()) == want
+
+
 def test_lattice(docs, none):
     import public_tokenizers
     model = public_tokenizers.path("piece_bpe_32k.model")
