@@ -62,12 +62,16 @@ def repeated_lines(docs, id="doc_id", text="text", min_words=50):
     with equal id and text are one document.
 
     Lines without a word are passed over. Lines that occur once end a run. For every start the
-    shortest run that reaches `min_words` has at most `min_words` lines, so
+    shortest run that reaches `min_words` has at most `min_words` lines, and so has the shortest
+    run that reaches it backward from every end, so
     log2(min_words) doublings suffice, however long copies are. The suffixes
     whose prefixes of that length are equal are an interval of the suffix array
     with at least this common prefix; two overlapping ranks by a power of two lines name it.
-    All but its first suffix (in order of id, text hash, line) start a copy. A
-    longer repeated run is the union of these.
+    All but its first suffix (in order of id, text hash, line) start a copy.
+
+    A maximal repeated run is the union of these: with s its last start that has `min_words`
+    words up to the run's end, the runs from its starts up to s cover the lines up to s, and the
+    shortest run back from its end is the one from s to the end.
     """
     lines = write_shared(_lines(docs, id, text).dropDuplicates(["doc", "th", "p"]), "lines")
     rows = _first_ranks(lines)
@@ -79,15 +83,22 @@ def repeated_lines(docs, id="doc_id", text="text", min_words=50):
         "left", F.sum("words").over(Window.partitionBy("doc", "th", "run")) - F.col("before"))
     within = Window.partitionBy("doc", "th", "run").orderBy("before").rangeBetween(0, min_words - 1)
     rows = rows.withColumn("m", F.count("*").over(within)).withColumn(
-        "m", F.when(F.col("left") >= min_words, F.col("m"))).select(
-        "doc", "th", "p", "i", "run", "m", F.array("rank").alias("ranks"))
+        "m", F.when(F.col("left") >= min_words, F.col("m"))).withColumn("upto", F.col("before") + F.col("words"))
+    back = Window.partitionBy("doc", "th", "run").orderBy("upto").rangeBetween(1 - min_words, 0)
+    # A run back from an end that is also the shortest from its start is not named twice.
+    rows = rows.withColumn("back", F.count("*").over(back)).withColumn("from", F.min("before").over(back)).withColumn(
+        "back", F.when(F.col("before") - F.col("from") >= min_words, F.col("back"))).select(
+        "doc", "th", "p", "i", "run", "m", "back", F.array("rank").alias("ranks"))
     rows = write_shared(rows, "ranks")
-    longest = rows.agg(F.max("m")).first()[0] or 0
+    longest = rows.agg(F.greatest(F.max("m"), F.max("back"))).first()[0] or 0
     for k in range(max(0, longest.bit_length() - 1)):
         rows = _doubled(rows, k)
 
     level = F.expr("cast(floor(log2(m)) as int)")
-    starts = rows.where("m is not null").withColumn("k", level).select(
+    backward = rows.where("back is not null").select(
+        "doc", "th", F.expr("p - cast(back as int) + 1").alias("p"), F.col("back").alias("m"))
+    starts = rows.where("m is not null").select("doc", "th", "p", "m", "ranks").unionByName(
+        backward.join(rows.select("doc", "th", "p", "ranks"), ["doc", "th", "p"])).withColumn("k", level).select(
         "doc", "th", "p", "m", "k", F.element_at("ranks", F.col("k") + 1).alias("head"),
         F.expr("p + m - shiftleft(1, k)").alias("at"))
     ends = rows.select("doc", "th", F.col("p").alias("at"), F.col("ranks").alias("tail_ranks"))

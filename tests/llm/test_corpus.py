@@ -363,6 +363,41 @@ def test_lines(spark, docs, none, least):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def maximal_runs_brute(rows, least):
+    """Lines of every run of `least` words or more that an earlier start repeats, extended as far as it goes."""
+    docs = [(i, [(j, x, len(plain(x))) for j, x in enumerate(t.split("\n")) if plain(x)]) for i, t in sorted(rows)]
+    gone, before = {i: set() for i, _ in docs}, []
+    for i, lines in docs:
+        for p in range(len(lines)):
+            for other, q in before:
+                n = 0
+                while p + n < len(lines) and q + n < len(other) and lines[p + n][1] == other[q + n][1]:
+                    n += 1
+                if sum(w for _, _, w in lines[p:p + n]) >= least:
+                    gone[i].update(j for j, _, _ in lines[p:p + n])
+            before.append((lines, p))
+    return gone
+
+
+@pytest.mark.parametrize("least", [5, 12, 50])
+def test_lines_cover_maximal_runs(spark, least):
+    rng = np.random.default_rng(least)
+    pool = [" ".join(f"u{k}w{j}" for j in range(rng.integers(1, least + least // 2))) for k in range(25)]
+    rows = [(0, "head a\n" + "p " * 60 + "\n" + "q " * 20 + "\ntail b"), (1, "other c\n" + "p " * 60 + "\n" + "q " * 20 + "\nend d")]
+    for d in range(2, 50):
+        lines = []
+        while len(lines) < 20:
+            at = int(rng.integers(0, 25))
+            lines += [*pool[at:at + int(rng.integers(1, 6))], f"own {d} {len(lines)}"][:int(rng.integers(1, 7))]
+        rows.append((d, "\n".join(lines)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {i: set() for i, _ in rows}
+    for r in line_dedup.repeated_lines(frame, min_words=least).collect():
+        found[r.doc].add(r.i)
+    assert found == maximal_runs_brute(rows, least)
+    assert found[1] == {1, 2}
+
+
 def rules_brute(text):
     text = text or ""
     words, lines = plain(text), [x for x in text.split("\n") if plain(x)]
