@@ -147,7 +147,7 @@ def whole_fleet(t):
 
 
 def assigned(t):
-    return dispatch.assign_vehicles(located(t), whole_fleet(t), t.vehicle_zone)
+    return dispatch.assign_vehicles(located(t), whole_fleet(t), t.vehicle_zone, max_inline=0)
 
 
 def planned(t):
@@ -155,7 +155,7 @@ def planned(t):
 
 
 def summarised(t):
-    return routing.route_summary(planned(t), whole_fleet(t))
+    return routing.route_summary(planned(t), whole_fleet(t), max_inline=0)
 
 
 def relief(t):
@@ -232,7 +232,7 @@ def _(t):
 SELECT DISTINCT o.order_id, z.vehicle_id FROM delivery_orders o
 LEFT JOIN vehicle_zone z ON contains(o.address, z.keyword)"""))
 def _(t):
-    return dispatch.zone_candidates(t.delivery_orders, t.vehicle_zone)
+    return dispatch.zone_candidates(t.delivery_orders, t.vehicle_zone, max_inline=0)
 
 
 @query("assign_vehicles", "J5", sql_with(
@@ -246,7 +246,7 @@ def _(t):
 def _(t):
     fleet = dispatch.with_vehicle_defaults(t.vehicles)
     return _rounded(
-        dispatch.assign_vehicles(located(t), fleet, t.vehicle_zone), "distance_km")
+        dispatch.assign_vehicles(located(t), fleet, t.vehicle_zone, max_inline=0), "distance_km")
 
 
 @query("assign_vehicles_by_join", "J4 J5", sql_with(
@@ -325,7 +325,7 @@ def _transfers(t, max_km=None):
     fleet = whole_fleet(t)
     stops = plan_stops(
         t.delivery_orders, fleet, t.vehicle_zone, fresh_path(t.spark, "transfers"))
-    gaps = balance.workload_gap(routing.route_summary(stops, fleet), relief(t))
+    gaps = balance.workload_gap(routing.route_summary(stops, fleet, max_inline=0), relief(t))
     moves = balance.transfer_candidates(stops, fleet, gaps, max_km)
     return _rounded(moves, "transfer_km")
 
@@ -378,5 +378,5 @@ SELECT {_round(['km', 'minutes'])} FROM summary""", [
     LOCATED, FLEET, SCENARIO_ASSIGNED, _walk(("scenario_id", *ROUTE)),
     _summary(["scenario_id", "route_day"])], recursive=True))
 def _(t):
-    found = routing.depot_scenarios(located(t), whole_fleet(t), t.vehicle_zone, _starts(t))
+    found = routing.depot_scenarios(located(t), whole_fleet(t), t.vehicle_zone, _starts(t), max_inline=0)
     return _rounded(found, "km", "minutes")

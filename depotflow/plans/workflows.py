@@ -19,7 +19,7 @@ def plan_stops(orders, vehicles, zones, path):
     Finding the stop order is the one step in Python; its result is written
     once, and everything derived from it reads the table.
     """
-    assigned = dispatch.assign_vehicles(dispatch.locate(orders), vehicles, zones)
+    assigned = dispatch.assign_vehicles(dispatch.locate(orders), vehicles, zones, max_inline=0)
     routing.plan_routes(assigned).write.mode("errorifexists").parquet(f"{path}/stops")
     return orders.sparkSession.read.parquet(f"{path}/stops")
 
@@ -28,14 +28,14 @@ def dispatch_plan(orders, vehicles, zones, path):
     """Stops, order detail and route summary below `path`."""
     stops = plan_stops(orders, vehicles, zones, path)
     detail = dispatch.dispatch_detail(dispatch.locate(orders), stops, vehicles)
-    write_dispatch(detail, routing.route_summary(stops, vehicles), path)
+    write_dispatch(detail, routing.route_summary(stops, vehicles, max_inline=0), path)
     return stops
 
 
 def balance_report(stops, vehicles, pairs, max_km=TRANSFER_MAX_KM):
     """Workload gaps and the stops that would narrow them, for configured pairs
     without a distance limit and for the busiest and idlest vehicle within one."""
-    summary = routing.route_summary(stops, vehicles)
+    summary = routing.route_summary(stops, vehicles, max_inline=0)
     gaps = balance.workload_gap(summary, pairs)
     extremes = balance.workload_extremes(summary)
     return {

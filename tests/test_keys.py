@@ -7,6 +7,7 @@ import pytest
 
 from depotflow.functions.text import parse_coord
 from depotflow.operators import dispatch, filters, kpi, routing
+from depotflow.plans.catalog import QUERIES
 from depotflow.sources.sinks import write_csv
 
 ORDERS = ("order_id long, route_day int, address string, lat double, lon double")
@@ -48,6 +49,11 @@ def test_fleet_over_the_bound_is_an_error(orders, fleet, zones):
         dispatch.assign_vehicles(orders, fleet, zones, 1).collect()
 
 
+@pytest.mark.parametrize("name", ["zone_candidates", "assign_vehicles", "route_summary", "depot_scenarios"])
+def test_queries_take_a_fleet_of_a_thousand(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.1").count() > 0
+
+
 @pytest.mark.parametrize("max_inline", [100, 0], ids=["inline", "join"])
 def test_building_starts_no_job(spark, orders, fleet, zones, max_inline):
     starts = spark.createDataFrame([("s", 0, 36.0, 128.0)], "scenario_id string, vehicle_id long, start_lat double, start_lon double")
