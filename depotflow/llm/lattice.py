@@ -13,6 +13,7 @@ from .common import text_of, write_shared
 
 SPACE = "▁"
 UNIT = re.compile(SPACE + r"+[^" + SPACE + r"\n\t]*|[^" + SPACE + r"\n\t]+|[\n\t]")
+# Words of more characters are folded in one pass over their characters: the fold in column expressions copies its state.
 LONGEST = 512
 BLOCK_CHARS = 8 << 20
 
@@ -33,14 +34,9 @@ def piece_table(spark, model_file):
 def units(text):
     """Words of a text: blanks become the model's space mark, one is put in front; cut at newlines and tabs.
 
-    No piece crosses these edges. A word over 512 characters is cut every 512.
+    No piece crosses these edges.
     """
-    if not text:
-        return []
-    found = UNIT.findall(SPACE + text.replace(" ", SPACE))
-    if max(map(len, found)) <= LONGEST:
-        return found
-    return [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
+    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def _word_blocks(docs):
@@ -78,18 +74,56 @@ def _word_blocks(docs):
     return write_shared(docs.mapInArrow(split, "block long, id long, words binary, local int, word string"), "words")
 
 
+def best_ids(word, table, longest, unknown, byte_zero):
+    """Ids of one word by the rule of `encode_words`, in time in proportion to its length."""
+    best, back = [0.0], [0]
+    for end in range(1, len(word) + 1):
+        top = None
+        for start in range(max(0, end - longest), end):
+            found = table.get(word[start:end])
+            if found is None and end - start > 1:
+                continue
+            total = best[start] + (found[1] if found else unknown * len(word[start].encode()))
+            if top is None or total > top:
+                top, at = total, start
+        best.append(top)
+        back.append(at)
+    parts, end = [], len(word)
+    while end:
+        found = table.get(word[back[end]:end])
+        parts.append([found[0]] if found else [byte_zero + b for b in word[back[end]:end].encode()])
+        end = back[end]
+    return [i for part in reversed(parts) for i in part]
+
+
+def _encode_long_words(words, pieces, longest, unknown, byte_zero):
+    """`word`, `ids` of words too long for the fold in column expressions."""
+    table = {r["piece"]: (r["piece_id"], r["score"]) for r in pieces.collect()}
+    shared = words.sparkSession.sparkContext.broadcast(table)
+
+    def encode(batches):
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            ids = [best_ids(w, shared.value, longest, unknown, byte_zero) for w in found]
+            yield pa.record_batch([pa.array(found, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+    return words.mapInArrow(encode, "word string, ids array<int>")
+
+
 def encode_words(words, pieces, byte_zero):
     """`word`, `ids`: the segmentation of each distinct word with the largest sum of scores.
 
     Substrings no longer than the longest piece are equi-joined to the piece
     table; a character without a piece costs its bytes. The edges of a word, in order of
     their ends, are folded: the best way to each end keeps its last edge, of equal sums the
-    longer last piece. Ids are read back from the end.
+    longer last piece. Ids are read back from the end. Words over 512 characters take the same
+    best way, found by `best_ids`; no word is cut.
     """
     limits = pieces.agg(F.max(F.length("piece")).alias("longest"), F.min(F.when(
         F.col("score") > -1e8, F.col("score"))).alias("least")).first()
     longest, unknown = limits["longest"] or 1, (limits["least"] or 0.0) - 10
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    long = _encode_long_words(words.where(F.length("word") > LONGEST), pieces, longest, unknown, byte_zero)
+    starts = words.where(F.length("word") <= LONGEST).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
     spans = starts.select("word", "start", F.explode(F.sequence(
         F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size")).withColumn(
         "piece", F.substring("word", F.col("start") + 1, F.col("size")))
@@ -120,7 +154,7 @@ def encode_words(words, pieces, byte_zero):
 
     first = F.struct((F.size("best") - 1).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
     return lattice.select("word", best.alias("best")).select(
-        "word", F.aggregate(F.sequence(F.lit(1), F.size("best") - 1), first, back, lambda s: s["ids"]).alias("ids"))
+        "word", F.aggregate(F.sequence(F.lit(1), F.size("best") - 1), first, back, lambda s: s["ids"]).alias("ids")).unionAll(long)
 
 
 def encode_documents(docs, model_file, id="doc_id", text="text"):

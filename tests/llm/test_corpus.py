@@ -316,6 +316,27 @@ def test_lattice_takes_the_best_sum(spark):
     assert found == {"▁ab": [4, 3], "▁abc": [4, 3, 6], "é": [10 + 0xC3, 10 + 0xA9], "b": [2]}
 
 
+def test_long_words_are_not_cut(spark, monkeypatch):
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("etaoinshrdlu"), 1997)) + "é日"
+    pieces, _ = lattice.piece_table(spark, model)
+    score = {r.piece: r.score for r in pieces.collect()}
+    piece_of = {r.piece_id: r.piece for r in pieces.collect()}
+    word = "▁" + text
+    best, longest, unknown = [0.0], max(map(len, score)), min(v for v in score.values() if v > -1e8) - 10
+    for end in range(1, len(word) + 1):
+        best.append(max(best[i] + score.get(word[i:end], unknown * len(word[i:end].encode()) if end - i == 1 else -np.inf)
+                        for i in range(max(0, end - longest), end)))
+    coded = lattice.encode_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), model)
+    (row,) = lattice.decode_documents(coded, model).collect()
+    assert row.text == text
+    assert sum(score[piece_of[i]] if i in piece_of else unknown for i in row.ids) == pytest.approx(best[-1], abs=1e-6)
+    monkeypatch.setattr(lattice, "LONGEST", 0, raising=False)
+    test_lattice_takes_the_best_sum(spark)
+
+
 def test_quality_model(docs, none, spark):
     rng = np.random.default_rng(2)
     good, bad = ["alpha", "beta", "gamma", "delta"], ["zz!!", "qq###", "kk$$$", "mm!!"]
