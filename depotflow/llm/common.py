@@ -27,3 +27,30 @@ def id_remainder(column, modulus):
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows of a lookup that may be broadcast (a few MB), and the share of rows, 1 of so many, from which a key is hot.
+MOST_BROADCAST = 100_000
+HOT_SHARE = 1000
+
+
+def left_lookup(rows, lookup, keys, count="n", most=MOST_BROADCAST):
+    """Left join of `rows` to `lookup`, which has one row a key and in `count` the rows of `rows` with that key.
+
+    Null keys are equal. A lookup of up to `most` rows, counted first, is broadcast. Beyond that the
+    keys that hold over a thousandth of the rows, fewer than 1,000 by that definition, are broadcast and
+    the others are joined by a shuffle, so no key meets more than that share in one task.
+    Both sides should be written tables, since they are read more than once.
+    """
+    names = [c for c in lookup.columns if c not in keys]
+    right = lookup.select(*[F.col(k).alias(f"_{k}") for k in keys], *names, F.lit(True).alias("_met"))
+    same = F.expr(" and ".join(f"`{k}` <=> `_{k}`" for k in keys))
+    drop = [f"_{k}" for k in keys] + ["_met"]
+    if lookup.count() <= most:
+        return rows.join(F.broadcast(right), same, "left").drop(*drop)
+    total = lookup.agg(F.sum(count)).first()[0]
+    hot = right.where(F.col(count) * HOT_SHARE > total)
+    cold = right.where(F.col(count) * HOT_SHARE <= total)
+    met = rows.join(F.broadcast(hot), same, "left")
+    rest = met.where("_met is null").drop(*drop, *names).join(cold, same, "left")
+    return met.where("_met").drop(*drop).unionByName(rest.drop(*drop))

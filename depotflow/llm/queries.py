@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .codes import compress_vectors
 from .common import table
 from .embeddings import near_vectors
 from .lattice import decode_documents, encode_documents
@@ -102,3 +103,40 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    found = compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    return found.select("vec_id", "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(parts=16, entries=64, rounds=2):
+    """The same in SQL: every part compared with every entry in every round."""
+    assign = """a{r} as (select vec_id, label, p, x, min(struct_pack(d := d, k := k)) as best from (
+        select o.vec_id, o.label, o.p, o.x, b.k, list_sum(list_transform(range(1, len(o.x) + 1),
+            lambda i: (o.x[i] - b.x[i]) * (o.x[i] - b.x[i])))::bigint as d
+        from points o join b{r} b on o.p = b.p) group by vec_id, label, p, x)"""
+    move = """b{n} as (select b.p, b.k, coalesce(m.x, b.x) as x from b{r} b left join (
+        select p, k, list(x order by i) as x from (
+            select p, best.k as k, i, floor(sum(x[i]) / count(*))::bigint as x
+            from a{r}, unnest(range(1, len(x) + 1)) t(i) group by all) group by p, k) m on m.p = b.p and m.k = b.k)"""
+    steps = [f"""kept as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+            from embeddings where embedding is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        points as (select vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] as x
+            from kept, unnest(range({parts})) t(p)),
+        b0 as (select p, dense_rank() over (order by vec_id) - 1 as k, x from points
+            where vec_id in (select vec_id from kept order by vec_id limit {entries}))"""]
+    for r in range(rounds):
+        steps += [assign.format(r=r), move.format(r=r, n=r + 1)]
+    steps.append(assign.format(r=rounds))
+    return f"""with {", ".join(steps)},
+        coded as (select vec_id, label, string_agg(printf('%02x', best.k), '' order by p) as code,
+            sum(best.d)::bigint as error from a{rounds} group by vec_id, label),
+        book as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, k)) as codebooks_sha256 from b{rounds})
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+        from coded, book"""
+
+
+ORACLES["op13_vector_codes"] = _lloyd_sql()
