@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
 from .codes import compress_vectors
 from .common import table
 from .embeddings import near_vectors
@@ -14,6 +15,7 @@ from .quality_rules import judge_documents
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .url_filter import judge_urls
+from .warc import read_archives, resolve_revisits, write_archives
 
 QUERIES, ORACLES = {}, {}
 
@@ -105,6 +107,26 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query
+def op12_warc(spark, sf_dir):
+    """Pages written to archives in the shared folder and read back; sizes and digests are those of the payloads read."""
+    path = fresh_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path, least=0)
+    number = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+):", 1).try_cast("long")
+    return resolve_revisits(read_archives(spark, path)).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"))
+
+
+ORACLES["op12_warc"] = """with p as (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes,
+        list_transform(range(8), lambda j: ('0x' || sha1(coalesce(html, ''))[5 * j + 1 : 5 * j + 5])::bigint) as words from pages),
+    d as (select page_id, payload_bytes, array_to_string(list_transform(words, lambda w: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((w >> s) & 31) + 1]), '')), '') as payload_digest from p),
+    t as (select *, max(page_id) over (partition by payload_digest) as top from d)
+    select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type,
+        case when page_id != top then top end as refers_to from t"""
+
+
 @query
 def op13_vector_codes(spark, sf_dir):
     found = compress_vectors(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
