@@ -6,6 +6,7 @@ from ..session import fresh_path
 from .codes import compress_vectors
 from .common import table
 from .embeddings import near_vectors
+from .hard_negatives import mine_hard_negatives
 from .lattice import decode_documents, encode_documents
 from .line_dedup import dedup_lines
 from .lm import score_documents
@@ -107,6 +108,30 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr(
+        "if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return mine_hard_negatives(vectors, F.col("id") % 100 == 0, positives=5, negatives=10, share=(30, 90))
+
+
+ORACLES["op11_hard_negatives"] = """with kept as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+            list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+        where label is not null and embedding is not null and len(embedding) > 0
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select a.vec_id as anchor_id, o.vec_id as id, a.label = o.label as same,
+            list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * o.v[i]))::bigint as score
+        from kept a join kept o on a.vec_id != o.vec_id where a.vec_id % 100 = 0),
+    positives as (select anchor_id, id as positive_id, score as positive_score from scored where same
+        qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+    select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, id))::int as rank,
+        id as negative_id, positive_score, score as negative_score
+    from positives join scored using (anchor_id)
+    where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+    qualify rank <= 10"""
+
+
 @query
 def op12_warc(spark, sf_dir):
     """Pages written to archives in the shared folder and read back; sizes and digests are those of the payloads read."""
