@@ -88,7 +88,7 @@ def _keyed(rows, is_anchor):
     return write_shared(rows.select("id", "label", "v", place("v").alias("h"), is_anchor.alias("anchor")), "hilbert")
 
 
-BLOCKS = ("block long, stripe long, label_low long, label_high long, low binary, high binary, "
+BLOCKS = ("block long, n long, label_low long, label_high long, low binary, high binary, "
           "ids binary, labels binary, anchors binary, v binary")
 
 
@@ -99,7 +99,7 @@ def _blocks(keyed):
 
         def emit(ids, labels, anchors, v):
             nonlocal number
-            row = {"block": first + number, "stripe": first + number // STRIPE, "label_low": int(labels.min()), "label_high": int(labels.max()),
+            row = {"block": first + number, "n": len(ids), "label_low": int(labels.min()), "label_high": int(labels.max()),
                    "low": v.min(0).tobytes(), "high": v.max(0).tobytes(), "ids": ids.tobytes(), "labels": labels.tobytes(),
                    "anchors": anchors.tobytes(), "v": v.tobytes()}
             number += 1
@@ -193,9 +193,21 @@ def _negative_zones(share):
     return choose
 
 
+def _striped(zones):
+    """Zones with the stripe of their block: about 8,192 rows that follow each other, over the edges of partitions too."""
+    part = F.shiftright("block", 32).alias("part")
+    # one row for each partition that blocks were cut in
+    sizes = zones.groupBy(part).agg(F.sum("n").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select("part", F.coalesce(before, F.lit(0)).alias("base"))
+    row = F.col("base") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) * BLOCK
+    return zones.withColumn("part", part).join(bases, "part").withColumn(
+        "stripe", F.floor(row / (BLOCK * STRIPE))).drop("n", "part", "base")
+
+
 def _plan(groups, blocks, choose):
     """`group`, `block`, `stripe`, `mask`: which anchors of a group must read which block."""
-    zones = blocks.select("block", "stripe", "label_low", "label_high", "low", "high")
+    zones = _striped(blocks.select("block", "n", "label_low", "label_high", "low", "high"))
     pages = max(1, -(-zones.count() // PAGE))
     paged = zones.groupBy(F.pmod(F.xxhash64("block"), F.lit(pages)).cast("int").alias("page")).agg(
         F.collect_list(F.struct(*zones.columns)).alias("zones"))
