@@ -8,7 +8,7 @@ from depotflow.llm.packing import pack_documents
 from depotflow.llm.quality_rules import judge_documents
 from depotflow.llm.queries import same_ranks, tokenizer_spec
 from depotflow.llm.secrets import redact_secrets
-from depotflow.llm.simhash import drop_similar
+from depotflow.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -24,8 +24,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group at a similarity of 0.8 of five-word shingles stays."""
-    return drop_similar(docs, shingle=5, similarity=0.8)
+    """One document of each component of fingerprints within 3 bits, of three-word shingles, stays."""
+    return drop_near_duplicates(docs, shingle=3, radius=3)
 
 
 def secret_scan(spark, docs, sf_dir):

@@ -107,151 +107,31 @@ def near_duplicates(docs, id="doc_id", text="text", shingle=3, radius=3):
     row keeps its null id and takes the component's smallest other id, or null.
     Repeated rows each get a row; an empty table gives no rows; other columns are ignored.
     """
-    printed = write_shared(fingerprints(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")),
-                                        "t", shingle).select("id", "fp"), "fingerprints")
+    printed, named = _grouped(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t")), shingle, radius)
+    return printed.join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
+
+
+def _grouped(rows, shingle, radius):
+    """Rows (id, t, others) with their fingerprint instead of t, written, and `fp`, `root`, `component_id` of every fingerprint."""
+    printed = write_shared(fingerprints(rows, "t", shingle).drop("t"), "fingerprints")
     fps = write_shared(printed.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     roots = fps.join(fingerprint_components(fps, radius), "fp")
     roots = roots.select("fp", "first", "root")
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
-    return printed.join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
-
-
-SAMPLES = 16
-SAMPLE_SIZE = 3
-# Nodes of a bucket for each of the keys that its pairs are dealt over.
-DEAL = 500
-
-
-def _sets(text, shingle):
-    """Distinct 64-bit shingle hashes of a text, sorted."""
-    return np.unique(np.frombuffer(shingle_digests(text, shingle), ">u8").astype(np.uint64))
-
-
-def sample_fingerprints(hashes):
-    """SimHash of each of 16 samples: the 3 shingles that come first in one of 16 fixed mixings of the hashes."""
-    if not len(hashes):
-        return [0] * SAMPLES
-    rng = np.random.default_rng(SEED)
-    odd = rng.integers(0, 2 ** 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    found = []
-    for factor in odd:
-        mixed = hashes * factor
-        mixed ^= mixed >> np.uint64(32)
-        first = np.argsort(mixed * factor, kind="stable")[:SAMPLE_SIZE]
-        found.append(fingerprint_of(hashes[np.sort(first)].astype(">u8").tobytes()))
-    return found
-
-
-def similar_groups(docs, id="doc_id", text="text", shingle=5, similarity=0.8):
-    """`id`, `th` (hash of the text), `first_id`, `first_th`: group of every distinct row by id and text.
-
-    Two documents link if the Jaccard similarity of their sets of word shingles
-    is at least `similarity`; `first` is the smallest (id, th) of the group. A
-    64-bit fingerprint of a whole text lies about ten bits off at a similarity
-    of 0.8, out of the reach of 3 bits. So next to it each text gets fingerprints of 16 samples
-    of three shingles; a pair at similarity s shares one with probability about
-    1 - (1 - s^3)^16 (0.99999 at 0.8). Fingerprints of whole texts are linked by the popcount grid,
-    those of samples are equal or not.
-
-    Texts with equal sets are one node. Candidates are tied to the smallest node
-    of their bucket first, then to the hub, the node of the bucket with most links so far.
-    Two nodes of a bucket that are still in different parts are not both in the hub's part:
-    every node outside that part, a loose one, is paired with all nodes of the bucket in other parts, if sizes
-    allow the similarity. So no pair that shares a bucket is left out unless its nodes are already linked. All pairs
-    are verified on the shingle sets, which are made for candidates only.
-    Null and wordless texts are one group. Null ids count as the largest.
-    """
-    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(2 ** 63 - 1)).alias("id"), text_of(text).alias("t"))
-    rows = rows.withColumn("th", F.xxhash64("t"))
-
-    @F.pandas_udf("fp long, size long, same binary, samples array<long>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        found = []
-        for t in texts:
-            hashes = _sets(t, shingle)
-            found.append((fingerprint_of(shingle_digests(t, shingle)), len(hashes),
-                          xxhash.xxh3_128_digest(hashes.tobytes()), sample_fingerprints(hashes)))
-        return pd.DataFrame(found, columns=["fp", "size", "same", "samples"])
-
-    sketched = write_shared(rows.select("id", "th", sketch("t").alias("s")).select("id", "th", "s.*"), "sketches")
-    nodes = write_shared(sketched.groupBy("same").agg(
-        F.min(F.struct("id", "th")).alias("first"), F.first("fp").alias("fp"), F.first("size").alias("size"),
-        F.first("samples").alias("samples")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    keys = nodes.select("node", "size", F.posexplode("samples").alias("sample", "key"))
-    ties = fingerprint_components(nodes.groupBy("fp").agg(F.count("*").alias("n")))
-    keys = write_shared(keys.unionAll(nodes.join(ties, "fp").select(
-        "node", "size", F.lit(-1).alias("sample"), F.col("root").alias("key"))), "keys")
-    shared = keys.groupBy("sample", "key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    seated = write_shared(keys.join(shared.drop("n"), ["sample", "key"]), "seated")
-    body = seated.select(F.col("node").alias("n")).unionAll(seated.select("head")).distinct()
-    texts = rows.join(nodes.join(body, nodes["node"] == body["n"]).select(
-        "node", F.col("first.id").alias("id"), F.col("first.th").alias("th")), ["id", "th"])
-
-    @F.pandas_udf("binary")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([_sets(t, shingle).tobytes() for t in texts])
-
-    sets = write_shared(texts.select("node", hashes("t").alias("set")).dropDuplicates(["node"]), "sets")
-
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
-        return pd.Series(out)
-
-    def verified(pairs):
-        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-        return write_shared(pairs.join(left, "a").join(right, "b").where(
-            jaccard("set_a", "set_b") >= similarity).select("a", "b"), "verified")
-
-    stars = verified(seated.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    ends = stars.select(F.col("a").alias("node")).unionAll(stars.select(F.col("b").alias("node")))
-    known = seated.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left").select(
-        "sample", "key", "node", F.coalesce("links", F.lit(0)).alias("links"))
-    hubs = known.groupBy("sample", "key").agg(F.max(F.struct("links", -F.col("node"))).alias("top")).select(
-        "sample", "key", (-F.col("top.col2")).alias("hub"))
-    seated = write_shared(seated.join(hubs, ["sample", "key"]), "hubs")
-    spokes = verified(seated.where("node != hub and head != hub and node != head").select(
-        F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct().join(
-        stars, ["a", "b"], "left_anti"))
-    stars = stars.unionAll(spokes)
-    tied = components(stars)
-    named = seated.join(tied, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    centres = tied.select(F.col("node").alias("hub"), F.col("root").alias("hub_part"))
-    named = write_shared(named.join(centres, "hub", "left").select(
-        "node", "size", "sample", "key", "part", (F.col("part") != F.coalesce("hub_part", "hub")).alias("loose")), "parts")
-    # Only buckets with a loose node have pairs left; those of many nodes are dealt over several keys.
-    open_ = named.groupBy("sample", "key").agg(F.count("*").alias("n"), F.max("loose").alias("any")).where("any")
-    dealt = open_.select("sample", "key", F.expr(f"cast(ceil(n / {DEAL}) as int)").alias("deals"))
-    left = write_shared(named.where("loose").join(dealt, ["sample", "key"]).withColumn(
-        "deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))), "loose").alias("l")
-    right = write_shared(named.join(dealt, ["sample", "key"]).withColumn(
-        "deal", F.pmod(F.xxhash64("node"), "deals").cast("int")), "dealt").alias("r")
-    more = left.join(right, F.expr(f"""l.sample = r.sample and l.key = r.key and l.deal = r.deal and l.part != r.part
-        and (l.node > r.node or not r.loose)
-        and least(l.size, r.size) >= {similarity} * greatest(l.size, r.size)"""))
-    linked = components(stars.unionAll(verified(more.select(
-        F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b")).distinct())))
-    groups = write_shared(nodes.select("node", "same", "first").join(linked, "node", "left").withColumn(
-        "root", F.coalesce("root", "node")), "groups")
-    heads = groups.groupBy("root").agg(F.min("first").alias("head"))
-    return sketched.join(groups.join(heads, "root").select("same", "head"), "same").select(
-        "id", "th", F.col("head.id").alias("first_id"), F.col("head.th").alias("first_th")).distinct()
+    return printed, roots.join(least, "root").select("fp", "root", "component_id")
 
 
-def drop_similar(docs, id="doc_id", text="text", shingle=5, similarity=0.8):
-    """The input's columns, and of each group of near duplicates one row: that of the smallest id, then text hash.
+def drop_near_duplicates(docs, id="doc_id", text="text", shingle=3, radius=3):
+    """The input's columns, and of each component of `near_duplicates` one row: that of the smallest id, then text hash.
 
-    Rows that repeat id and text are one document. See `similar_groups`.
+    Null ids count as the largest; rows that repeat id and text are one document; null and wordless texts are
+    linked by their fingerprint zero. An empty table gives no rows. A row is found again by its id and text
+    hash, so texts are shuffled once, by that key, which is even unless a row is repeated.
     """
-    stay = similar_groups(docs, id, text, shingle, similarity).where("id = first_id and th = first_th").select("id", "th")
-    row = docs.select(F.struct("*").alias("d")).select(
-        "d", F.coalesce(F.col(f"d.`{id}`").cast("long"), F.lit(2 ** 63 - 1)).alias("id"),
-        F.xxhash64(F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit(""))).alias("th"))
+    whole = F.coalesce(F.col(id).cast("long"), F.lit(2 ** 63 - 1)).alias("id")
+    hashed = F.xxhash64(text_of(text)).alias("th")
+    printed, named = _grouped(docs.select(whole, F.col(text).alias("t"), hashed), shingle, radius)
+    stay = printed.join(named, "fp").groupBy("root").agg(F.min(F.struct("id", "th")).alias("head")).select("head.*")
+    row = docs.select(F.struct("*").alias("d"), whole, hashed)
     kept = row.join(stay, ["id", "th"]).dropDuplicates(["id", "th"])
     return kept.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

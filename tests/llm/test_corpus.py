@@ -266,37 +266,22 @@ def test_fingerprint_grid_loses_nothing(spark):
     assert len(set(found.values())) == len(set(want.values()))
 
 
-def test_similar(docs, none, spark):
-    kept = simhash.drop_similar(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 8, 9, 10, 12, 13]
-    assert simhash.drop_similar(none).count() == 0
-
-
-def jaccard_roots(texts, similarity=0.8):
-    sets = [set(simhash._sets(t, 5).tolist()) for t in texts]
-    return reachable(len(texts), [(i, j) for i in range(len(texts)) for j in range(i)
-                                  if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])])
-
-
-def test_similar_star_of_variants(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    base = [f"b{i}" for i in range(400)]
-    texts = []
-    for v in range(200):
-        words = list(base)
-        for at in rng.choice(80, 7, replace=False) * 5:
-            words[at + 2] = f"v{v}x{at}"
-        texts.append(" ".join(words))
-    texts[150:150] = [" ".join(base)]
-    texts += [" ".join(f"c{i // 40 * 40 if i < 360 else v}w{i}" for i in range(400)) for v in range(8)]
-    sets = [set(simhash._sets(t, 5).tolist()) for t in texts]
-    near = [len(x & sets[150]) / len(x | sets[150]) for x in sets[:201]]
-    assert 0.82 < min(near) and sum(len(sets[0] & x) >= 0.8 * len(sets[0] | x) for x in sets[1:201]) < 20
-    want = Counter(jaccard_roots(texts))
-    monkeypatch.setattr(simhash, "DEAL", 7, raising=False)
-    groups = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert Counter(r.first_id for r in groups.collect()) == want
+def test_one_of_each_component_stays(spark, docs, none):
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and simhash.drop_near_duplicates(none).count() == 0
+    rng = np.random.default_rng(9)
+    base = [" ".join(rng.choice([f"b{i}" for i in range(300)], 400)) for _ in range(12)]
+    rows = [*TEXTS, *[(50 + i, base[i % 12] + (f" tail{i}" if i % 5 else "")) for i in range(120)],
+            (20, base[3]), (20, base[3]), (20, base[4]), (None, base[5]), (None, "no id here but words enough for the rules to pass it on"),
+            *[(900 + i, "same text of a large group") for i in range(50)]]
+    prints = [fingerprint_brute(t, 3) for _, t in rows]
+    root = reachable(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3])
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(root[k], []).append((i is None, i or 0))
+    want = Counter(min(g)[1] if not min(g)[0] else None for g in groups.values())
+    found = simhash.drop_near_duplicates(spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, th int, root int"))
+    assert Counter(r.doc_id for r in found.collect()) == want
 
 
 def test_lattice(docs, none):
@@ -351,23 +336,15 @@ def test_quality_model(docs, none, spark):
 
 
 def lines_brute(rows, least=50):
-    seen, gone = set(), {}
-    for i, t in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0])):
-        lines = [(j, x, len(plain(x))) for j, x in enumerate(t.split("\n")) if plain(x)]
-        for p in range(len(lines)):
-            n = 0
-            for q in range(p, len(lines)):
-                n += lines[q][2]
-                if n >= least:
-                    run = tuple(x[1] for x in lines[p:q + 1])
-                    if run in seen:
-                        gone.setdefault(i, set()).update(x[0] for x in lines[p:q + 1])
-                    seen.add(run)
-                    break
+    """Texts without the lines of maximal repeated runs; rows that repeat id and text are one document."""
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0))
+    gone = maximal_runs_brute([(n, t) for n, (_, t) in enumerate(order)], least)
+    place = {(i, t): n for n, (i, t) in enumerate(order)}
     out = []
     for i, t in rows:
-        left = "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in gone.get(i, ()))
-        out.append((i, t if i not in gone else left if plain(left) else ""))
+        cut = gone[place[(i, t or "")]]
+        left = "\n".join(x for j, x in enumerate((t or "").split("\n")) if j not in cut)
+        out.append((i, t if not cut else left if plain(left) else ""))
     return out
 
 
