@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import as_date
@@ -71,22 +72,61 @@ def datetime_range_filter(m, start_dt, end_dt):
         & ((day < last) | (time <= to_time)))
 
 
-def search_movements(m, start=None, end=None, plants=None, move_types=None, batch=None,
-                     ref_no=None, partner=None, product=None, limit=None):
-    """All given conditions together, newest first, all rows or the first `limit`."""
+def search_rows(m, start=None, end=None, plants=None, move_types=None, batch=None, ref_no=None, partner=None, product=None):
+    """Rows that meet all given conditions."""
     found = date_range_filter(m, start, end)
     found = in_filter(found, "plant_code", plants)
     found = in_filter(found, "move_type", move_types)
     found = like_filter(found, "batch", batch)
     found = like_filter(found, "ref_no", ref_no)
     found = eq_filter(found, "partner_name", partner)
-    found = eq_filter(found, "product_name", product)
-    order = [F.desc_nulls_last("move_date"), F.desc_nulls_last("move_time")]
-    order += [F.asc_nulls_last(c) for c in SEARCH_COLS[2:]]
-    found = found.select(*SEARCH_COLS).orderBy(*order)
+    return eq_filter(found, "product_name", product)
+
+
+def _newest_first():
+    return [F.desc_nulls_last("move_date"), F.desc_nulls_last("move_time"), *[F.asc_nulls_last(c) for c in SEARCH_COLS[2:]]]
+
+
+def search_movements(m, start=None, end=None, plants=None, move_types=None, batch=None,
+                     ref_no=None, partner=None, product=None, limit=None):
+    """All given conditions together, newest first, all rows or the first `limit`; see `newest_movements` for landed tables."""
+    found = search_rows(m, start, end, plants, move_types, batch, ref_no, partner, product)
+    found = found.select(*SEARCH_COLS).orderBy(*_newest_first())
     return found if limit is None else found.limit(limit)
 
 
+def newest_movements(m, n, **filters):
+    """The newest `n` rows of a landed table that meet the conditions of `search_movements`, as that orders them.
+
+    Matching rows are counted per month first, reading only the columns of the conditions. From the newest
+    month back, only the months up to `n` rows are read again; of these the days, and of these the seconds, are cut
+    alike. So what is sorted at the end is `n` rows and those of one second, whatever the table holds, and no
+    task hands `n` rows to another. Rows without a date come last.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    found = search_rows(m, **filters)
+    month = F.coalesce("move_month", F.lit(""))
+    # text of equal length, so that it sorts as day and time do; no date or no time comes first
+    day = F.coalesce(F.date_format("move_date", "yyyy-MM-dd"), F.lit(""))
+    second = F.concat(day, F.lit(" "), F.coalesce("move_time", F.lit("")))
+    for key in (month, day, second):
+        found = found.where(key >= _last_needed(found, key, n))
+    return found.select(*SEARCH_COLS).orderBy(*_newest_first()).limit(n)
+
+
+def _last_needed(rows, key, n):
+    """The largest key so that rows from it on number `n` or more, else the smallest; one value.
+
+    Callers narrow the rows first, so that the counts ordered here are few: months, days of the months
+    kept, then seconds of the days kept.
+    """
+    counts = rows.groupBy(key.alias("k")).agg(F.count("*").alias("n"))
+    newer = F.sum("n").over(Window.orderBy(F.desc("k")))
+    return counts.withColumn("reached", newer).agg(
+        F.coalesce(F.max(F.when(F.col("reached") >= n, F.col("k"))), F.min("k"))).scalar()
+
+
 def outbound_shipments(m, plant, start_dt, end_dt, move_type=OUTBOUND):
     """Shipments of one plant between two points in time, oldest first."""
     found = datetime_range_filter(m, start_dt, end_dt)

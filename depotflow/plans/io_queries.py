@@ -3,18 +3,22 @@
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_range
-from ..operators import dispatch
-from ..operators.filters import date_range_filter
+from ..operators import dispatch, invoices
+from ..operators.filters import date_range_filter, newest_movements
 from ..operators.returns import KEY
-from ..schema import MOVE_TYPE_LABELS, MOVEMENT_HEADERS, NAME_COLUMNS, SCAN
+from ..schema import MOVE_TYPE_LABELS, MOVEMENT_HEADERS, NAME_COLUMNS, OUTBOUND, PURCHASE, SCAN
 from ..session import fresh_path
 from ..sources import movement, sinks, tables
 from ..streaming import scans as streams
+from ..streaming import sessions
 from .dispatch_queries import DELIVERY, PLAN, _rounded, whole_fleet
+from .movement_queries import SEARCH_SQL
 from .workflows import dispatch_plan
 from .registry import query, sql_with
 from .scan_queries import CLASSIFIED, EXTRACTED, FIXED
 
+# Micro-batches that the stream queries run in, and files of each.
+BATCHES, BATCH_FILES = 5, 4
 SALES_HEADERS = {"거래처명": "name", "주소": "address", "박스수량": "box_qty", "봉지수량": "bag_qty"}
 
 
@@ -110,10 +114,10 @@ def _(t):
 
 
 def _scan_stream(t):
-    """The scan table landed once, then read back as a stream of files."""
+    """The scan table landed once, then read back as a stream of files in several micro-batches."""
     path = fresh_path(t.spark, "scans")
-    t.scans.write.parquet(path)
-    return t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", 1000).parquet(path)
+    t.scans.repartition(BATCHES * BATCH_FILES).write.parquet(path)
+    return t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
 
 
 @query("classify_stream", "D1", sql_with(["scans"], "SELECT * FROM classified", [CLASSIFIED]))
@@ -138,3 +142,92 @@ def _(t):
         fresh_path(t.spark, "checkpoint")).awaitTermination()
     return streams.latest_matches(t.spark, path).select(
         *KEY, "scanned_qty", "expected_qty", "status")
+
+
+def _scans_by_year(t, years):
+    """The scan table landed year after year in the given order, and a stream with a micro-batch a year. The first and last year have all before and after."""
+    path = fresh_path(t.spark, "scans")
+    year = F.greatest(F.lit(min(years)), F.least(F.lit(max(years)), F.year("scan_ts")))
+    for y in years:
+        t.scans.where(year == y).repartition(BATCH_FILES).write.mode("append").parquet(path)
+    return path, t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
+
+
+def _closed(t, years):
+    landed, stream = _scans_by_year(t, years)
+    path = fresh_path(t.spark, "sessions")
+    sessions.close_sessions_stream(stream, path, fresh_path(t.spark, "checkpoint")).awaitTermination()
+    return t.spark.read.schema(SCAN).parquet(landed), t.spark.read.parquet(path)
+
+
+SESSIONS = """sessions AS (
+  SELECT operator_id, CAST(scan_ts AS DATE) AS session_day, gtin, batch, COUNT(*) AS scanned_qty
+  FROM extracted WHERE gtin IS NOT NULL AND batch IS NOT NULL AND scan_ts IS NOT NULL GROUP BY ALL)"""
+
+
+@query("return_sessions_stream", "J7", sql_with(["scans"], """
+SELECT * FROM sessions WHERE session_day <= (SELECT MAX(session_day) FROM sessions) - 2""", [FIXED, EXTRACTED, SESSIONS]))
+def _(t):
+    """Years come in order, so nothing is late; the newest two days are still open."""
+    _, closed = _closed(t, range(1995, 2002))
+    return closed.withColumn("session_day", F.to_date("session_start")).drop("session_start", "session_end")
+
+
+@query("late_return_scans", "J7", sql_with(["scans"], """
+SELECT operator_id, session_day, gtin, batch, scanned_qty AS late_qty FROM sessions
+WHERE YEAR(session_day) = 1997""", [FIXED, EXTRACTED, SESSIONS]))
+def _(t):
+    """1997 comes when 1998 has ended, so all of it is late."""
+    late = sessions.late_scans(*_closed(t, [1995, 1996, 1998, 1999, 1997, 2000, 2001]))
+    return late.withColumn("session_day", F.to_date("session_start")).drop("session_start", "session_end")
+
+
+@query("land_corrected", "S2", sql_with(
+    ["movement"], "SELECT *, strftime(move_date, '%Y-%m') AS move_month FROM movement"))
+def _(t):
+    """A first extract with wrong rows and gaps, a second that corrects it, both landed again, the older one last."""
+    number = F.substring("ref_no", 4, 20).cast("long")
+    wrong = t.movement.where(number % 7 != 0).withColumn(
+        "move_date", F.when(number % 5 == 0, F.add_months("move_date", 1)).otherwise(F.col("move_date"))).withColumn(
+        "amount", F.when(number % 5 == 0, F.col("amount") + 1000).otherwise(F.col("amount")))
+    right = t.movement.where((number % 5 == 0) | (number % 7 == 0))
+    path = fresh_path(t.spark, "extracts")
+    for extract_no, extract in ((1, wrong), (2, right), (2, right), (1, wrong)):
+        movement.land_extract(extract, path, extract_no)
+    return movement.read_movement(t.spark, path)
+
+
+@query("newest_movements", "K4 P6 P9", SEARCH_SQL)
+def _(t):
+    path = fresh_path(t.spark, "movement")
+    movement.land_movement(t.movement, path)
+    return newest_movements(
+        movement.read_movement(t.spark, path), 5000, start="1999-01-01", end="2001-12-31", plants=["PLANT_1", "PLANT_2"],
+        move_types=["OUTBOUND", "RTP", "RETURN"], batch="0_")
+
+
+RANGES = [(f"{y}-{m:02d}", f"{y}-{m:02d}-01", f"{y}-{m + 2:02d}-28") for y in (1997, 1999, 2000) for m in (1, 4, 6, 9)]
+RANGES += [(f"from {y}", f"{y}-03-15", "2001-06-30") for y in range(1995, 2002)] + [("all", "1990-01-01", "2010-12-31")]
+
+
+def _bitmaps(t):
+    """The table of daily bitmaps, written; counting reads nothing else."""
+    numbers, bitmaps = fresh_path(t.spark, "invoice-numbers"), fresh_path(t.spark, "invoice-bitmaps")
+    invoices.number_invoices(t.movement).write.parquet(numbers)
+    invoices.invoice_bitmaps(t.movement, t.spark.read.parquet(numbers)).write.parquet(bitmaps)
+    return t.spark.read.parquet(bitmaps)
+
+
+@query("quarterly_invoices_exact", "A1 A2", sql_with(["movement"], """
+SELECT plant_code, strftime(date_trunc('quarter', move_date), '%Y-%m') AS quarter, COUNT(DISTINCT ref_no) AS invoice_count
+FROM movement WHERE move_type IN ('PURCHASE', 'OUTBOUND') AND ref_no IS NOT NULL GROUP BY ALL"""))
+def _(t):
+    rows = _bitmaps(t).where(F.col("move_type").isin(PURCHASE, OUTBOUND))
+    return invoices.count_invoices(rows, "plant_code", F.date_format(F.date_trunc("quarter", "move_date"), "yyyy-MM").alias("quarter"))
+
+
+@query("invoices_in_ranges", "A1 A2", sql_with(["movement"], " UNION ALL ".join(
+    f"SELECT '{n}' AS range_name, COUNT(DISTINCT ref_no) AS invoice_count FROM movement WHERE move_date BETWEEN DATE '{a}' AND DATE '{b}'"
+    for n, a, b in RANGES)))
+def _(t):
+    return invoices.count_invoices_in_ranges(_bitmaps(t), RANGES)

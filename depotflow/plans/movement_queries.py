@@ -65,7 +65,7 @@ def _(t):
     return f.eq_filter(found, "product_name", "small ring")
 
 
-@query("search_movements", "P6 P9 K4", over_movement("""
+SEARCH_SQL = over_movement("""
 SELECT * FROM movement
 WHERE plant_code IN ('PLANT_1', 'PLANT_2') AND move_type IN ('OUTBOUND', 'RTP', 'RETURN')
   AND move_date BETWEEN DATE '1999-01-01' AND DATE '2001-12-31' AND batch LIKE '%0_%'
@@ -73,7 +73,10 @@ ORDER BY move_date DESC NULLS LAST, move_time DESC NULLS LAST, plant_code NULLS
   move_type NULLS LAST, storage_loc NULLS LAST, partner_name NULLS LAST,
   partner_address NULLS LAST, product_code NULLS LAST, product_name NULLS LAST,
   batch NULLS LAST, qty NULLS LAST, amount NULLS LAST, ref_no NULLS LAST
-LIMIT 5000"""))
+LIMIT 5000""")
+
+
+@query("search_movements", "P6 P9 K4", SEARCH_SQL)
 def _(t):
     return f.search_movements(
         t.movement, "1999-01-01", "2001-12-31", ["PLANT_1", "PLANT_2"],
@@ -83,11 +86,11 @@ def _(t):
 @query("search_movements_all_filters", "P6 P9", over_movement("""
 SELECT * FROM movement
 WHERE plant_code IN ('PLANT_0', 'PLANT_3') AND move_type = 'OUTBOUND' AND batch LIKE '%B_%'
-  AND ref_no LIKE '%INV1%' AND partner_name = 'NATION_3' AND product_name = 'small ring'"""))
+  AND ref_no LIKE '%INV1%' AND partner_name = 'NATION_3' AND product_name = 'red gear'"""))
 def _(t):
     return f.search_movements(
         t.movement, None, "2001-12-31", ["PLANT_0", "PLANT_3"], [OUTBOUND], "B_", "INV1",
-        "NATION_3", "small ring", limit=None)
+        "NATION_3", "red gear", limit=None)
 
 
 @query("datetime_range_filter", "P7", over_movement("""

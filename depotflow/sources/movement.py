@@ -1,7 +1,12 @@
 """Reading, normalising and landing the movement table."""
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ..functions.calendar import year_month
 from ..schema import MOVE_TYPE_LABELS, MOVEMENT, MOVEMENT_HEADERS, MOVEMENT_LANDED
+from ..session import fresh_path
 from .tables import normalise_headers
 
 
@@ -40,3 +45,57 @@ def land_movement(df, path):
     (df.withColumn("move_month", year_month("move_date"))
      .hint("rebalance", "move_month")
      .write.mode("errorifexists").partitionBy("move_month").parquet(path))
+
+
+_LANDED_EXTRACTS = T.StructType(MOVEMENT_LANDED.fields[:-1] + [T.StructField("extract_no", T.LongType()), MOVEMENT_LANDED.fields[-1]])
+
+
+def land_extract(df, path, extract_no, key=("ref_no",)):
+    """Lands an extract on a monthly table that may hold earlier ones; returns the months written.
+
+    All rows of a key come from the highest extract number that has the key: a corrected extract replaces
+    them, also where their month changed, an older one that comes late adds only keys that no newer one has, and landing
+    an extract again changes nothing. Months that neither hold nor get a row of the extract's keys are not
+    rewritten. Rows with a null in the key are kept from every number, once for each.
+
+    Only the key and number columns are read to find the months; those months are merged into a staging table in the
+    shared folder, so a run that fails before the last step leaves the table as it was. The last
+    step replaces the months as wholes and can be repeated.
+    """
+    spark, key = df.sparkSession, list(key)
+    incoming = df.withColumn("extract_no", F.lit(extract_no).cast("long")).withColumn("move_month", year_month("move_date"))
+    incoming = incoming.select(*_LANDED_EXTRACTS.fieldNames())
+    try:
+        current = spark.read.schema(_LANDED_EXTRACTS).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        current = spark.createDataFrame([], _LANDED_EXTRACTS)
+    keys = incoming.select(*key).distinct()
+    held = current.select(*key, "extract_no", "move_month").join(keys, key, "left_semi")
+    same_number = current.where(F.col("extract_no") == extract_no).select("move_month")
+    touched = [r[0] for r in held.select("move_month").union(incoming.select("move_month")).union(same_number).distinct().collect()]
+    if not touched:
+        return []
+    month = F.col("move_month")
+    part = current.where(month.isin([t for t in touched if t]) | (month.isNull() if None in touched else F.lit(False)))
+    newer = held.where(F.col("extract_no") > extract_no).select(*key).distinct()
+    # rows of this number go as well: they are what a first, failed or repeated landing left
+    stay = part.where(F.col("extract_no") != extract_no).join(
+        keys, [part[k] == keys[k] for k in key] + [part["extract_no"] < extract_no], "left_anti")
+    merged = stay.unionByName(incoming.join(newer, key, "left_anti"))
+    staged = fresh_path(spark, "staged")
+    merged.write.partitionBy("move_month").parquet(staged)
+    merged = spark.read.schema(_LANDED_EXTRACTS).parquet(staged)
+    filled = {r[0] for r in merged.select("move_month").distinct().collect()}
+    (merged.hint("rebalance", "move_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("move_month").parquet(path))
+    for gone in set(touched) - filled:      # a month without rows is not replaced by the writer
+        _drop_month(spark, path, gone)
+    return sorted(touched, key=lambda t: t or "")
+
+
+def _drop_month(spark, path, month):
+    name = "__HIVE_DEFAULT_PARTITION__" if month is None else month
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/move_month={name}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
