@@ -144,6 +144,13 @@ def classify_scans(scans, missing_mark=None, excess_codes=None):
         *scans.columns, "type", "value")
 
 
+def separated_text(scans, missing_mark=None, excess_codes=None):
+    """Adds `text`: the repaired text with one sign for all separators, without those and a symbology prefix in front."""
+    return repair_scans(scans, missing_mark, excess_codes).withColumn(
+        "text", F.regexp_replace("repaired", r"(?i)\]d2|<gs>|\[gs\]", _GS)).withColumn(
+        "text", F.regexp_replace("text", rf"^(?:{_GS}|\][A-Za-z][0-9])+", ""))
+
+
 def extract_gs1(scans, missing_mark=None, excess_codes=None):
     """Product code, batch, expiry and serial of each scan, NULL where absent.
 
@@ -174,10 +181,7 @@ def extract_gs1(scans, missing_mark=None, excess_codes=None):
     day = _cut(yymmdd, 4, 2)
     date = F.when(day == "00", F.last_day(F.concat(month, F.lit("01")).try_cast("date"))).otherwise(
         F.concat(month, day).try_cast("date"))
-    separated = repair_scans(scans, missing_mark, excess_codes).withColumn(
-        "text", F.regexp_replace("repaired", r"(?i)\]d2|<gs>|\[gs\]", _GS)).withColumn(
-        "text", F.regexp_replace("text", rf"^(?:{_GS}|\][A-Za-z][0-9])+", ""))
-    fields = computed_once(separated, {
+    fields = computed_once(separated_text(scans, missing_mark, excess_codes), {
         "gtin": found(product), "batch": found(batch), "yymmdd": found(expiry),
         "serial": found(serial)})
     return fields.withColumn("expiry", date).select(

@@ -1,6 +1,8 @@
 """Queries over barcode scans, purchase returns and stock."""
 
-from ..operators import returns, scans, stock
+from pyspark.sql import functions as F
+
+from ..operators import gs1, returns, scans, stock
 from .registry import query, sql_with
 
 # Classification as nested SQL: repaired text `t`, delimiter position `i`, place behind it `e`.
@@ -82,6 +84,38 @@ def _(t):
     return scans.extract_gs1(t.scans)
 
 
+# Every field of a text, one recursion step a field, over the table of identifiers.
+_IDENTIFIERS = ", ".join(f"('{two}', {digits}, {size})" for two, digits, size in gs1.IDENTIFIERS)
+GS1_WALK = rf"""
+identifiers(two, digits, size) AS (VALUES {_IDENTIFIERS}),
+texts AS (
+  SELECT row_number() OVER () AS rid, scan_group, scan_no, regexp_replace(regexp_replace(t, '\]d2|<gs>|\[gs\]', chr(29), 'gi'),
+                                             '^(\x1d|\][A-Za-z][0-9])+', '') AS text FROM fixed),
+walk AS (
+  SELECT rid, scan_group, scan_no, ltrim(text, chr(29)) AS rest, '' AS found, CASE WHEN text = '' THEN 'NO_TEXT' END AS reason, 0 AS n FROM texts
+  UNION ALL
+  SELECT rid, scan_group, scan_no, CASE WHEN why IS NULL THEN ltrim(substr(body, length(v) + 1), chr(29)) ELSE rest END,
+         CASE WHEN why IS NULL AND NOT contains(found, '|' || ai || '=') THEN found || '|' || ai || '=' || v ELSE found END, why, n + 1
+  FROM (SELECT *, CASE
+          WHEN size IS NULL OR NOT regexp_full_match(ai, '[0-9]+') OR length(ai) < digits THEN 'UNKNOWN_IDENTIFIER:' || substr(rest, 1, 2)
+          WHEN size > 0 AND length(v) < size THEN 'TOO_SHORT:' || ai
+          WHEN size > 0 AND NOT regexp_full_match(v, '[0-9]+') THEN 'NOT_DIGITS:' || ai
+          WHEN v = '' THEN 'EMPTY:' || ai END AS why
+        FROM (SELECT *, CASE WHEN size > 0 THEN substr(body, 1, size) ELSE string_split(body, chr(29))[1] END AS v
+              FROM (SELECT w.*, i.digits, i.size, substr(rest, 1, coalesce(i.digits, 2)) AS ai, substr(rest, coalesce(i.digits, 2) + 1) AS body
+                    FROM walk w LEFT JOIN identifiers i ON i.two = substr(w.rest, 1, 2)
+                    WHERE w.reason IS NULL AND w.rest <> ''))))"""
+
+
+@query("gs1_fields", "D2", sql_with(["scans"], """
+SELECT scan_group, scan_no, found[2:] AS fields, reason FROM walk
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC) = 1""", [FIXED, GS1_WALK], recursive=True))
+def _(t):
+    read = gs1.gs1_fields(t.scans)
+    listed = F.array_join(F.transform(F.map_entries("fields"), lambda f: F.concat(f["key"], F.lit("="), f["value"])), "|")
+    return read.select("scan_group", "scan_no", listed.alias("fields"), "reason")
+
+
 @query("count_scans", "A12", sql_with(["scans"], """
 SELECT gtin, batch, expiry, COUNT(*) AS scanned_qty FROM extracted
 WHERE gtin IS NOT NULL GROUP BY ALL""", [FIXED, EXTRACTED]))

@@ -54,7 +54,8 @@ def compare(spark, con, sf_dir, build, sql):
     if odd:
         return f"result types {odd}"
     if ours != theirs:
-        only = [r for r in ours if r not in set(theirs)][:2], [r for r in theirs if r not in set(ours)][:2]
+        known, wanted = set(ours), set(theirs)
+        only = [r for r in ours if r not in wanted][:2], [r for r in theirs if r not in known][:2]
         return f"{len(ours)} rows, expected {len(theirs)}; only ours / only expected: {only}"
     return None if ours else "no rows"
 
