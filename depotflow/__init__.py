@@ -1,6 +1,6 @@
 """Distribution-logistics analytics as Spark DataFrame operators."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 
 import sys
 
