@@ -67,14 +67,17 @@ def _window_metrics(m, as_of, lookbacks, partners, recent_basis, move_type):
     measures.append(
         F.avg(F.when(qty > 0, F.col("amount") / F.nullif(qty, F.lit(0)))).alias("price"))
 
-    counts = [f"rows_{n}" for n in lookbacks] + ["last_year_rows", "current_rows"]
-    for count in counts:
+    for count in _window_counts(lookbacks):
         seen = seen | (F.col(count) > 0)
     return sales.groupBy("partner_name", "product_name").agg(*measures).where(seen)
 
 
-def _unfold(metrics, lookbacks, hybrids):
-    """One row per scenario and product.
+def _window_counts(lookbacks):
+    return [f"rows_{n}" for n in lookbacks] + ["last_year_rows", "current_rows"]
+
+
+def _unfold(metrics, lookbacks, hybrids, by=()):
+    """One row per scenario and product; `by` names further keys of a forecast.
 
     A named product has one row when any of its windows has data. An unnamed
     product never joins with itself, so each window with data stands alone
@@ -102,16 +105,16 @@ def _unfold(metrics, lookbacks, hybrids):
             part(2, lookback, ~named & in_last_year, none, last_year, none, none),
             part(3, lookback, ~named & in_current, none, none, current, none),
         ]
-    rows = metrics.select("partner_name", "product_name", F.inline(
+    rows = metrics.select(*by, "partner_name", "product_name", F.inline(
         F.array_compact(F.array(*parts))))
     return rows.withColumn("hybrid", F.explode(F.array(*[F.lit(h) for h in hybrids])))
 
 
-def _forecast(parts):
+def _forecast(parts, by=()):
     """Inputs are rounded first, half away from zero; the forecast then half to even."""
     zero = F.lit(0)
     rounded = parts.select(
-        "lookback", "hybrid", "part", "partner_name", "product_name",
+        *by, "lookback", "hybrid", "part", "partner_name", "product_name",
         F.round(F.coalesce("recent", zero), 1).alias("avg_recent"),
         F.coalesce("last_year", zero).cast("double").alias("last_year_qty"),
         F.coalesce("current", zero).cast("double").alias("current_qty"),
@@ -129,14 +132,14 @@ def _forecast(parts):
                     (F.col("suggested_qty") * F.col("unit_price")).cast("bigint")))
 
 
-def _mark_key_items(rows):
+def _mark_key_items(rows, by=()):
     """Flag each partner's first 30 rows by extra revenue.
 
     Ranking all rows would put a large partner's whole list into one task. The
     rank limit is pruned per task instead, and the few ranked keys are joined
     back on their full key, which spreads evenly.
     """
-    group = ("lookback", "hybrid", "partner_name")
+    group = (*by, "lookback", "hybrid", "partner_name")
     order = [F.desc("extra_revenue"), F.asc_nulls_last("product_name"), F.asc("part")]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     top = rows.withColumn("rank", rank).where(F.col("rank") <= KEY_ITEMS).select(

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from ..operators.forecast import KEY_ITEMS, demand_forecast, forecast_scenarios
+from ..operators.forecast_history import forecast_dates, sales_history
 from .registry import query, sql_with
 
 AS_OF = dt.date(2001, 6, 15)
@@ -98,3 +99,64 @@ def _(t):
     SCENARIO_LOOKBACKS, [False, True]))
 def _(t):
     return forecast_scenarios(t.movement, AS_OF, SCENARIO_LOOKBACKS)
+
+
+#: 24 days of reference, two years from September 1999 on, at the start, middle and end of months.
+DATES = tuple(dt.date(1999 + (8 + i) // 12, (8 + i) % 12 + 1, (1, 15, 28)[i % 3]) for i in range(24))
+
+
+def _dates_sql(hybrids):
+    """Each date's windows by date arithmetic, and a filtered aggregate over all its movements."""
+    days = ", ".join(f"(DATE '{day}')" for day in DATES)
+    settings = ", ".join(f"({h})" for h in hybrids)
+    named = "product_name IS NOT NULL"
+    ctes = [
+        f"setting(hybrid) AS (VALUES {settings})",
+        f"""day AS (
+  SELECT as_of, CAST(date_trunc('month', as_of) AS DATE) AS month_start,
+         CAST(date_trunc('month', CAST(date_trunc('month', as_of) AS DATE) - 90) AS DATE) AS since,
+         CAST(date_trunc('month', as_of) + INTERVAL 1 MONTH AS DATE) AS month_end
+  FROM (VALUES {days}) AS d(as_of))""",
+        """outgoing AS (
+  SELECT partner_name, product_name, move_date, qty, amount FROM movement
+  WHERE move_type = 'OUTBOUND' AND partner_name IS NOT NULL)""",
+        """placed AS (
+  SELECT as_of, o.*,
+         CASE WHEN move_date >= since AND move_date < month_start THEN 'recent'
+              WHEN move_date >= month_start AND move_date < month_end THEN 'month'
+              WHEN move_date >= month_start - INTERVAL 1 YEAR AND move_date < month_end - INTERVAL 1 YEAR
+              THEN 'year_ago' END AS place
+  FROM outgoing o, day)""",
+        "price AS (SELECT partner_name, product_name, AVG(amount / qty) FILTER (WHERE qty > 0) AS price "
+        f"FROM outgoing WHERE {named} GROUP BY partner_name, product_name)",
+        f"""seen AS (
+  SELECT as_of, partner_name, product_name, AVG(qty) FILTER (WHERE place = 'recent') AS recent_qty,
+         SUM(qty) FILTER (WHERE place = 'year_ago') AS year_ago_qty,
+         SUM(qty) FILTER (WHERE place = 'month') AS month_qty, ANY_VALUE(price) AS price
+  FROM placed LEFT JOIN price USING (partner_name, product_name) WHERE place IS NOT NULL
+  GROUP BY as_of, partner_name, product_name, CASE WHEN {named} THEN '' ELSE place END)""",
+        """inputs AS (
+  SELECT as_of, partner_name, product_name,
+         CAST(ROUND(COALESCE(recent_qty, 0), 1) AS DOUBLE) AS avg_recent,
+         CAST(COALESCE(year_ago_qty, 0) AS DOUBLE) AS last_year_qty,
+         CAST(COALESCE(month_qty, 0) AS DOUBLE) AS current_qty,
+         ROUND(COALESCE(price, 0), 0) AS unit_price
+  FROM seen)""",
+        """forecast AS (
+  SELECT *, 3 AS lookback, ROUND_EVEN(CASE WHEN NOT hybrid OR last_year_qty = 0 THEN avg_recent
+         ELSE avg_recent * 0.4 + last_year_qty * 0.6 END, 1) AS forecast_qty
+  FROM inputs, setting)""",
+        """valued AS (
+  SELECT *, GREATEST(forecast_qty - current_qty, 0.0) AS suggested_qty,
+         CAST(TRUNC(GREATEST(forecast_qty - current_qty, 0.0) * unit_price) AS BIGINT) AS extra_revenue
+  FROM forecast WHERE forecast_qty > 0)""",
+    ]
+    return sql_with(["movement"], f"""
+SELECT *, ROW_NUMBER() OVER (PARTITION BY as_of, hybrid, partner_name
+         ORDER BY extra_revenue DESC, product_name ASC NULLS LAST) <= {KEY_ITEMS} AS is_key_item
+FROM valued""", ctes)
+
+
+@query("forecast_by_date", "F1 F2 W1 A5", _dates_sql([False, True]))
+def _(t):
+    return forecast_dates(sales_history(t.movement), DATES, (3,), (False, True))
