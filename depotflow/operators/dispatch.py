@@ -13,6 +13,9 @@ from .nearest import nearest_by_grid
 START = ("start_lat", "start_lon")
 # Every order looks at the whole carried fleet, so this stays small.
 INLINE_MAX_FLEET = 500
+# Length of the pieces by which keywords are looked up, and the values that blank addresses are spread over.
+ANCHOR = 3
+SCATTER = 1_024
 FLEET_FIELDS = ("vehicle_id", *POSITION, "start_lat", "keywords")
 
 
@@ -72,37 +75,72 @@ def geocode_orders(orders, geo):
 
 
 def zone_candidates(orders, zones, max_inline=INLINE_MAX_FLEET):
-    """(order_id, vehicle_id) for every vehicle with a zone keyword inside the address.
+    """One row for each order and vehicle with a zone keyword inside the address.
 
-    `max_inline` above 0 carries the zones along and bounds them; 0 uses joins. Orders matching no zone keep one row with a NULL vehicle.
+    Rows carry the columns of `order_keys`. `max_inline` above 0 carries the zones along and
+    bounds them; 0 uses joins. Orders matching no zone keep one row with a NULL vehicle.
     """
+    keys = order_keys(orders)
     if not max_inline:
-        pairs = _address_candidates(orders, zones)
-        return orders.select("order_id", "address").join(pairs, "address", "left").select(
-            "order_id", "vehicle_id")
-    zone_rows = orders.select("order_id", "address", inline_rows(
+        pairs = scattered(_address_candidates(orders, zones), everywhere=True)
+        return scattered(orders.select(*keys, "address")).join(
+            pairs, ["address", "scatter"], "left").select(*keys, "vehicle_id")
+    zone_rows = orders.select(*keys, "address", inline_rows(
         zones, "vehicle_id", "keyword", most=max_inline).alias("zones"))
     hits = F.filter("zones", lambda z: F.contains(F.col("address"), z["keyword"]))
     ids = F.array_distinct(F.transform(hits, lambda z: z["vehicle_id"]))
-    return zone_rows.select("order_id", F.explode_outer(ids).alias("vehicle_id"))
+    return zone_rows.select(*keys, F.explode_outer(ids).alias("vehicle_id"))
+
+
+def scattered(df, everywhere=False):
+    """A second join key that spreads NULL and blank addresses, which may be a large share of the rows.
+
+    `everywhere` is for the other side: its blank addresses are repeated for every value.
+    """
+    blank = is_blank(F.col("address"))
+    if everywhere:
+        values = F.when(blank, F.sequence(F.lit(0), F.lit(SCATTER - 1))).otherwise(F.array(F.lit(0)))
+        return df.select("*", F.explode(values).alias("scatter"))
+    spread = F.pmod(F.xxhash64(*order_keys(df)), F.lit(SCATTER)).cast("int")
+    return df.withColumn("scatter", F.when(blank, spread).otherwise(0))
+
+
+def _pieces(df, text, lengths):
+    """One row per position of `text` and entry of `lengths`, with the piece that starts there."""
+    here = F.col(text)
+    starts = F.sequence(F.lit(1), F.length(here) - F.col("n") + 1)
+    return (
+        df.select("*", F.explode(lengths).alias("n")).where(F.length(here) >= F.col("n"))
+        .select("*", F.explode(F.array_distinct(
+            F.transform(starts, lambda i: F.substring(here, i, F.col("n"))))).alias("piece"))
+        .drop("n"))
 
 
 def _address_candidates(orders, zones):
-    """Substring match as an equi-join, for zone maps too large to carry along.
+    """(address, vehicle_id) where a keyword of the vehicle lies inside the address.
 
-    Every distinct address is cut into all its pieces as long as some keyword;
-    pieces equal to a keyword are the matches.
+    Equi-joins, for zone maps of any size. An address is cut into pieces of
+    ANCHOR characters, one per position whatever the keywords' lengths are. Each keyword
+    is looked up by one of its own pieces, the one that the fewest addresses hold,
+    and the addresses found are compared with the whole keyword. Keywords shorter than
+    ANCHOR are their own piece; only where such exist, addresses are cut into these lengths too.
     """
-    lengths = zones.agg(F.array_sort(F.collect_set(F.length("keyword")))).scalar()
-    pieces = (
+    words = zones.where(F.col("keyword").isNotNull()).select("keyword").distinct().withColumn(
+        "anchor", F.least(F.length("keyword"), F.lit(ANCHOR)))
+    addresses = (
         orders.select("address").where(F.col("address").isNotNull()).distinct()
-        .select("address", F.explode(lengths).alias("n"))
-        .where(F.length("address") >= F.col("n"))
-        .select("address", F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("address") - F.col("n") + 1),
-            lambda i: F.substring(F.col("address"), i, F.col("n")))).alias("keyword"))
-        .distinct())
-    return pieces.join(zones, "keyword").select("address", "vehicle_id").distinct()
+        .withColumn("address_id", F.xxhash64("address")))
+    lengths = words.agg(F.array_sort(F.collect_set("anchor"))).scalar()
+    cut = _pieces(addresses, "address", lengths).select("address_id", "piece")
+    found = cut.groupBy("piece").agg(F.count("*").alias("addresses"))
+    # A keyword one of whose pieces no address holds is in no address: any piece will do then.
+    rarest = (
+        _pieces(words, "keyword", F.array("anchor")).join(found, "piece", "left")
+        .groupBy("keyword")
+        .agg(F.min_by("piece", F.struct(F.coalesce("addresses", F.lit(0)), "piece")).alias("piece")))
+    maybe = cut.join(rarest, "piece").select("address_id", "keyword")
+    inside = maybe.join(addresses, "address_id").where(F.contains("address", "keyword"))
+    return inside.select("address", "keyword").join(zones, "keyword").select("address", "vehicle_id").distinct()
 
 
 def assign_vehicles(orders, vehicles, zones, max_inline=INLINE_MAX_FLEET):
@@ -175,7 +213,8 @@ def assign_by_join(located, vehicles, zones):
     depots = vehicles.select(*by, "vehicle_id", *START)
     points = located.select(*order, "address", "lat", "lon").distinct()
     fleet_zones = zones.join(depots.select("vehicle_id"), "vehicle_id", "left_semi")
-    pairs = points.join(_address_candidates(located, fleet_zones), "address")
+    candidates = scattered(_address_candidates(located, fleet_zones), everywhere=True)
+    pairs = scattered(points).join(candidates, ["address", "scatter"])
     km = geo_distance_km("start_lat", "start_lon", "lat", "lon")
     zoned = (
         pairs.join(depots, [*by, "vehicle_id"])

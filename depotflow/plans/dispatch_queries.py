@@ -229,7 +229,7 @@ def _(t):
 
 
 @query("zone_candidates", "J4 X11", sql_with(["delivery_orders", "vehicle_zone"], """
-SELECT DISTINCT o.order_id, z.vehicle_id FROM delivery_orders o
+SELECT DISTINCT o.route_day, o.order_id, z.vehicle_id FROM delivery_orders o
 LEFT JOIN vehicle_zone z ON contains(o.address, z.keyword)"""))
 def _(t):
     return dispatch.zone_candidates(t.delivery_orders, t.vehicle_zone, max_inline=0)
