@@ -179,19 +179,31 @@ def random_places(n, digits):
     return (np.array(v) for v in zip(*places))
 
 
-@pytest.mark.parametrize("visit", [routing._visit_by_matrix, routing._visit_by_latitude])
 @pytest.mark.parametrize("n, digits", [(1, 4), (40, 1), (150, 2)])
-def test_visit_order_is_nearest_neighbour(visit, n, digits):
+def test_visit_order_is_nearest_neighbour(n, digits):
     lats, lons = random_places(n, digits)
-    assert list(visit(lats, lons, 35.3, 128.7)) == brute_route(lats, lons, (35.3, 128.7))
+    assert list(routing.visit_order(lats, lons, 35.3, 128.7)) == brute_route(lats, lons, (35.3, 128.7))
 
 
-def test_long_routes_visit_in_the_same_order():
-    lats, lons = random_places(2500, 3)
-    assert len(lats) > routing.MATRIX_MAX_PLACES
-    expected = list(routing._visit_by_matrix(lats, lons, 34.0, 128.7))
-    assert list(routing.visit_order(lats, lons, 34.0, 128.7)) == expected
-    assert sorted(expected) == list(range(len(lats)))
+def all_distances_route(lats, lons, here):
+    left, order = np.ones(len(lats), bool), []
+    for _ in lats:
+        order.append(int(np.argmin(np.where(left, routing._km_to(*here, lats, lons), np.inf))))
+        left[order[-1]] = False
+        here = lats[order[-1]], lons[order[-1]]
+    return order
+
+
+@pytest.mark.parametrize("spread, digits", [((1.0, 1.0), 3), ((0.001, 0.001), 5), ((90.0, 180.0), 0)])
+def test_long_routes_visit_in_the_same_order(spread, digits):
+    """One region, one town, the whole earth with its poles and the date line; distances tie often."""
+    rng = random.Random(9)
+    places = dict.fromkeys((round(rng.uniform(-1, 1) * spread[0], digits), round(rng.uniform(-1, 1) * spread[1], digits))
+                           for _ in range(3000))
+    lats, lons = (np.array(v) for v in zip(*places))
+    found = list(routing.visit_order(lats, lons, 0.4, 0.7))
+    assert found == all_distances_route(lats, lons, (0.4, 0.7))
+    assert sorted(found) == list(range(len(lats)))
 
 
 def stops_frame(spark, n=60, days=3, digits=1):
@@ -216,6 +228,26 @@ def test_sequence_is_a_permutation_and_each_step_nearest(spark):
         assert [tie_order[i].order_id for i in expected] == [r.order_id for r in route]
 
 
+def test_routes_over_the_guard_are_an_error(spark):
+    stops = stops_frame(spark)  # 10 a route
+    assert routing.sequence_routes(stops, max_stops=10).count() == 60
+    for build in (routing.sequence_routes, routing.plan_routes):
+        with pytest.raises(Exception, match="max_stops=9"):
+            build(stops, max_stops=9).collect()
+
+
+def test_plan_equals_legs_and_clock_of_the_sequence(spark):
+    stops = stops_frame(spark)
+    plan = routing.plan_routes(stops)
+    apart = routing.with_eta(routing.route_legs(routing.sequence_routes(stops)))
+    assert set(plan.columns) == set(apart.columns)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    figures = ("leg_km", "return_km", "leg_min", "clock_min")
+    one, two = (df.select("order_id", "seq", "is_last", "eta", *[F.round(c, 8).alias(c) for c in figures])
+                .orderBy("order_id").collect() for df in (plan, apart.select(*plan.columns)))
+    assert one == two and len(one) == 60
+
+
 def test_summary_equals_legs_and_counts_idle_vehicles(spark):
     plan = routing.plan_routes(stops_frame(spark))
     fleet = fleet_of(spark, (35.0, 128.0), (35.0, 128.0), (35.0, 128.0))
