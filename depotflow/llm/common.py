@@ -1,5 +1,7 @@
 """Helpers shared by the corpus operators."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
@@ -20,6 +22,21 @@ def text_of(column):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def smallest_hashes(rows, keys, most):
+    """The `most` rows with the smallest xxhash64 of `keys`, then by all columns; all rows if there are fewer.
+
+    Sorting with a limit alone would send that many rows from every task. The rows are
+    counted first, and only those under the hash that `most` rows and eight standard deviations more
+    are expected to stay under are sorted, so what is sent does not grow with the input.
+    Rows with equal keys share one hash, so keys should tell most rows apart.
+    """
+    n, place = rows.count(), F.xxhash64(*keys)
+    few = most + 8 * math.ceil(math.sqrt(most))
+    if n > few:
+        rows = rows.where(place <= F.lit(-(1 << 63) + (1 << 64) * few // n))
+    return rows.orderBy(place, *rows.columns).limit(most)
+
+
 def id_remainder(column, modulus):
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

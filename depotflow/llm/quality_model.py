@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import id_remainder, text_of, write_shared
+from .common import id_remainder, smallest_hashes, text_of, write_shared
 
 BUCKETS = 1 << 15
 DIMS = 32
@@ -182,7 +182,8 @@ def score_quality(docs, labels, id="doc_id", text="text", target="quality", modu
     features = write_shared(rows.mapInArrow(pool, "id long, held_out boolean, x binary"), "features")
     known = labels.where(F.col(target).isin(0, 1)).groupBy(F.col(id).cast("long").alias("id")).agg(
         F.min(target).cast("int").alias("y"))
-    sample = features.where("not held_out").join(known, "id").orderBy(F.xxhash64("id"), "id", "x").limit(most_rows).toPandas()
+    labelled = features.where("not held_out").join(known, "id").select("id", "x", "y")
+    sample = smallest_hashes(labelled, ["id"], most_rows).toPandas()
     x = np.frombuffer(b"".join(map(bytes, sample["x"])), np.float32).reshape(-1, WIDTH)
     network = Network().fit(x.astype(np.float64), sample["y"].to_numpy(np.int64))
 

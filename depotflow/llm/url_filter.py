@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import smallest_hashes, write_shared
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/"))
@@ -99,12 +99,12 @@ def judge_urls(pages, labelled, id="page_id", url="url", rules=RULES, trees=Tree
         "f_suffix_rows": F.log1p("n"), "f_suffix_bad": (bad + prior * share) / (seen + prior)})
     names = [c for c in full.columns if c.startswith("f_")]
     if rate["n"] >= trees.least_rows and 0 < rate["bad"] < rate["n"]:
-        assembled = VectorAssembler(inputCols=names, outputCol="x").transform(full)
-        sample = write_shared(assembled.where("y is not null").orderBy(F.xxhash64("url"), "id").limit(
-            trees.most_rows).select("x", "y"), "url-sample")
+        assembler = VectorAssembler(inputCols=names, outputCol="x")
+        sampled = smallest_hashes(full.where("y is not null").select("id", "url", "y", *names), ["id", "url"], trees.most_rows)
+        sample = write_shared(assembler.transform(sampled).select("x", "y"), "url-sample")
         model = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees.rounds, maxDepth=trees.depth,
                               seed=trees.seed).fit(sample)
-        scored = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
+        scored = model.transform(assembler.transform(full)).withColumn("score", vector_to_array("probability")[1])
     else:
         scored = full.withColumn("score", F.lit(float(share)))
     decided = rule_columns(F.col("host"), F.col("path"), rules)
