@@ -8,7 +8,7 @@ from ..functions.once import computed_once
 from ..functions.text import WHITE_SPACE, is_blank, parse_coord
 from ..schema import (
     BAG_LOAD, BOX_LOAD, DEFAULT_EFFICIENCY, DEFAULT_START, NO_ADDRESS, NOT_FOUND, UNASSIGNED)
-from .nearest import nearest_by_grid
+from .nearest import with_nearest_by_grid
 
 START = ("start_lat", "start_lon")
 # Every order looks at the whole carried fleet, so this stays small.
@@ -207,26 +207,26 @@ def assign_from_fleet(orders):
 
 
 def assign_by_join(located, vehicles, zones):
-    """Assignment by equi-joins; a `scenario_id` on both sides belongs to every key."""
+    """Assignment by equi-joins; a `scenario_id` on both sides belongs to every key.
+
+    Orders go through the zone step and the grid in one line of joins: a second branch for orders without a zone would
+    repeat all of the zone step in the plan.
+    """
     by = [c for c in ("scenario_id",) if c in vehicles.columns]
     order = order_keys(located)
     depots = vehicles.select(*by, "vehicle_id", *START)
     points = located.select(*order, "address", "lat", "lon").distinct()
     fleet_zones = zones.join(depots.select("vehicle_id"), "vehicle_id", "left_semi")
     candidates = scattered(_address_candidates(located, fleet_zones), everywhere=True)
-    pairs = scattered(points).join(candidates, ["address", "scatter"])
+    pairs = scattered(points).join(candidates, ["address", "scatter"], "left").join(
+        depots, [*by, "vehicle_id"], "left")
     km = geo_distance_km("start_lat", "start_lon", "lat", "lon")
-    zoned = (
-        pairs.join(depots, [*by, "vehicle_id"])
-        .groupBy(*order)
-        .agg(F.min(F.struct(km.alias("km"), "vehicle_id")).alias("best"),
-             F.when(F.count("*") == 1, 1).otherwise(2).alias("assign_phase")))
-    rest = points.join(zoned, order, "left_anti")
-    free = nearest_by_grid(rest, depots, order, by).withColumn("assign_phase", F.lit(3))
-    best = zoned.unionByName(free).select(
-        *order, "best.vehicle_id", F.col("best.km").alias("distance_km"), "assign_phase")
-    return located.join(best, order).join(depots, [*by, "vehicle_id"]).select(
-        *located.columns, "vehicle_id", "distance_km", "assign_phase", *START)
+    mine = F.when(F.col("start_lat").isNotNull(), F.struct(km.alias("km"), "vehicle_id", *START))
+    zoned = pairs.groupBy(*order, "lat", "lon").agg(F.min(mine).alias("zoned"), F.count(mine).alias("hits"))
+    found = with_nearest_by_grid(zoned, located, depots, F.col("hits") == 0, order, by, known="zoned")
+    best = found.select(*order, "best.*", F.when(F.col("hits") == 0, 3).when(F.col("hits") == 1, 1).otherwise(2).alias("assign_phase"))
+    return located.join(best, order).select(
+        *located.columns, "vehicle_id", F.col("km").alias("distance_km"), "assign_phase", *START)
 
 
 def dispatch_detail(orders, stops, vehicles):

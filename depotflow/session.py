@@ -15,6 +15,8 @@ _CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long plans compile more classes than the default of 100 keeps, and would compile them all anew each time.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 
