@@ -70,7 +70,7 @@ def combinations(parts, depth):
         low = head[-1] if head else 1
         if head and rest >= low:
             found.append((*head, rest))
-        if len(head) < depth - 2 or not head:
+        if len(head) < depth - 1 or not head:
             open_ += [((*head, x), rest - x) for x in range(low, rest // 2 + 1)]
     return sorted(found)
 

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -183,6 +184,15 @@ def test_place_fills_windows(spark):
     assert len(pieces) < 3 * len(sizes)
 
 
+def test_combinations_of_every_size():
+    for parts, depth in ((9, 2), (9, 3), (14, 4)):
+        want = [c for n in range(2, depth + 1) for c in itertools.combinations_with_replacement(range(1, parts), n) if sum(c) == parts]
+        assert packing.combinations(parts, depth) == sorted(want)
+    # thirds of a window fit by threes only
+    histogram = np.bincount([42] * 200 + [44] * 100, minlength=128)
+    assert packing.plan(histogram, 128) == [((42, 42, 44), 100)]
+
+
 def test_nnls():
     rng = np.random.default_rng(0)
     matrix = rng.random((12, 30))
