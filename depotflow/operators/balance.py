@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geo_distance_km
 from ..schema import FLEET_GAP_MIN, PAIR_GAP_MIN
-from .routing import route_keys
+from .routing import all_days, over_days, route_keys, route_totals, shared_totals
 
 
 def _day_keys(df):
@@ -26,15 +26,48 @@ def workload_gap(summary, pairs, minutes=PAIR_GAP_MIN):
                 gap.alias("gap_min"), (gap >= minutes).alias("flagged")))
 
 
+def workload_gap_of_routes(stops, vehicles, pairs, minutes=PAIR_GAP_MIN):
+    """The rows of `workload_gap` for `route_summary(stops, vehicles)`.
+
+    That joins the rows of all days and vehicles. Here only routes with stops meet the pairs, and a pair's
+    days are added where its rows are returned.
+    """
+    keys, pair = _day_keys(stops), ["busy_id", "idle_id"]
+    shared = shared_totals(route_totals(stops))
+    fleet = vehicles.select("vehicle_id")
+    listed = pairs.select(*pair).join(fleet.withColumnRenamed("vehicle_id", "busy_id"), "busy_id").join(
+        fleet.withColumnRenamed("vehicle_id", "idle_id"), "idle_id").select(*pair)
+    once = pairs.select(*pair).distinct()
+
+    def side(name):
+        values = [F.when(F.lit(n == name), F.col("minutes")).alias(f"{n}_min") for n in ("busy", "idle")]
+        return shared().withColumnRenamed("vehicle_id", f"{name}_id").join(once, f"{name}_id").select(*keys, *pair, *values)
+
+    met = side("busy").unionAll(side("idle")).groupBy(*keys, *pair).agg(
+        F.max("busy_min").alias("busy_min"), F.max("idle_min").alias("idle_min"))
+    filled = over_days(listed, pair, met, keys, all_days(shared(), keys, known=True)).withColumns(
+        {c: F.coalesce(c, F.lit(0.0)) for c in ("busy_min", "idle_min")})
+    gap = F.col("busy_min") - F.col("idle_min")
+    return filled.select(*keys, *pair, "busy_min", "idle_min", gap.alias("gap_min"), (gap >= minutes).alias("flagged"))
+
+
 def workload_extremes(summary, minutes=FLEET_GAP_MIN):
     """Busiest and idlest vehicle per day; ties go to the lowest id for the busiest
-    and to the highest id for the idlest."""
+    and to the highest id for the idlest.
+
+    Vehicles with equal minutes are first reduced to their lowest and highest id: most are idle, and sums over
+    plain numbers need no sorting of all rows.
+    """
     keys = _day_keys(summary)
     gap = F.col("busy_min") - F.col("idle_min")
+    ids = summary.groupBy(*keys, "minutes").agg(
+        F.min("vehicle_id").alias("low"), F.max("vehicle_id").alias("high"), F.count("vehicle_id").alias("known"),
+        F.count("*").alias("all"))
+    high = F.when(F.col("known") == F.col("all"), F.col("high"))  # a NULL id comes behind the others
     return (
-        summary.groupBy(*keys)
-        .agg(F.max(F.struct("minutes", -F.col("vehicle_id"))).alias("busy"),
-             F.min(F.struct("minutes", -F.col("vehicle_id"))).alias("idle"))
+        ids.groupBy(*keys)
+        .agg(F.max(F.struct("minutes", -F.col("low"))).alias("busy"),
+             F.min(F.struct("minutes", -high)).alias("idle"))
         .select(*keys,
                 (-F.col("busy.col2")).alias("busy_id"), (-F.col("idle.col2")).alias("idle_id"),
                 F.col("busy.minutes").alias("busy_min"), F.col("idle.minutes").alias("idle_min"))

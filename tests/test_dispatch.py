@@ -248,6 +248,51 @@ def test_plan_equals_legs_and_clock_of_the_sequence(spark):
     assert one == two and len(one) == 60
 
 
+def test_short_and_long_routes_in_one_call_keep_their_order(spark):
+    rng = random.Random(5)
+    sizes = [1, 2, 3, routing.BUCKET, routing.BUCKET + 1, 200]
+    rows = [(scenario, day, i, rng.choice([1, 2, None]), 35 + rng.randrange(9) / 8, 128 + rng.randrange(9) / 8, 35.0, 128.0)
+            for scenario in ("x", None) for day, size in enumerate(sizes) for i in rng.sample(range(size), size)]
+    stops = spark.createDataFrame([(s, d, 7, *r) for s, d, *r in rows], "scenario_id string, route_day int, vehicle_id int, "
+                                  "order_id long, assign_phase int, lat double, lon double, start_lat double, start_lon double")
+    plan = routing.plan_routes(stops)
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().executedPlan().toString()  # a call a route costs more than the route
+    found = {}
+    for r in plan.orderBy("seq").collect():
+        found.setdefault((r.scenario_id, r.route_day), []).append(r)
+    assert len(found) == 12
+    for (scenario, day), route in found.items():
+        assert [r.seq for r in route] == list(range(1, sizes[day] + 1))
+        ties = sorted((r for r in rows if r[:2] == (scenario, day)), key=lambda r: (r[3] is None, r[3] or 0, r[2]))
+        places = list(dict.fromkeys(r[4:6] for r in ties))
+        walk = [places[i] for i in brute_route([p[0] for p in places], [p[1] for p in places], (35.0, 128.0))]
+        assert [r.order_id for r in route] == [r[2] for place in walk for r in ties if r[4:6] == place]
+        assert route[-1].is_last and route[-1].clock_min == pytest.approx(sum(r.leg_min for r in route))
+
+
+def test_idle_days_are_not_shuffled(spark):
+    """Rows of a summary and of gaps that stand for no stop are made in the last step; the stops are walked once."""
+    plan = routing.plan_routes(stops_frame(spark))
+    fleet = fleet_of(spark, *[(35.0, 128.0)] * 300).union(fleet_of(spark, (35.0, 128.0)))
+    pairs = spark.createDataFrame([(i, i - 1) for i in range(1, 300)] + [(0, 1)] * 2, "busy_id int, idle_id int")
+    summary = routing.route_summary(plan, fleet, max_inline=0)
+    assert summary.count() == 3 * 301
+    gaps = balance.workload_gap_of_routes(plan, fleet, pairs)
+    one, two = (sorted(map(tuple, g.select("route_day", "busy_id", "idle_id", F.round("gap_min", 6), "flagged").collect()))
+                for g in (gaps, balance.workload_gap(summary, pairs)))
+    assert one == two and len(one) == 3 * 304
+    for df in (summary, gaps):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        line = [x.strip() for x in text.split("\n") if x.strip().startswith("+-") and not x.lstrip(" +-").startswith("AdaptiveSpark")]
+        at = next(i for i, x in enumerate(line) if "Generate posexplode" in x)
+        assert not any("Exchange" in x for x in line[:at])
+    noted = spark.createDataFrame([(0, 1, 5.0), (0, None, 5.0), (0, 2, 9.0), (0, 4, 9.0), (None, 3, 1.0)],
+                                  "route_day int, vehicle_id int, minutes double")
+    extremes = balance.workload_extremes(noted)
+    assert {r.route_day: (r.busy_id, r.idle_id) for r in extremes.collect()} == {0: (2, None), None: (3, 3)}
+    assert "SortAggregate" not in extremes._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+
+
 def test_summary_equals_legs_and_counts_idle_vehicles(spark):
     plan = routing.plan_routes(stops_frame(spark))
     fleet = fleet_of(spark, (35.0, 128.0), (35.0, 128.0), (35.0, 128.0))
