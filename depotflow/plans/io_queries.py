@@ -214,8 +214,7 @@ def _bitmaps(t):
     """The table of daily bitmaps, written; counting reads nothing else."""
     numbers, bitmaps = fresh_path(t.spark, "invoice-numbers"), fresh_path(t.spark, "invoice-bitmaps")
     invoices.number_invoices(t.movement).write.parquet(numbers)
-    invoices.invoice_bitmaps(t.movement, t.spark.read.parquet(numbers)).write.parquet(bitmaps)
-    return t.spark.read.parquet(bitmaps)
+    return invoices.write_bitmaps(invoices.invoice_bitmaps(t.movement, t.spark.read.parquet(numbers)), bitmaps)
 
 
 @query("quarterly_invoices_exact", "A1 A2", sql_with(["movement"], """
