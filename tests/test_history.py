@@ -121,3 +121,10 @@ def test_sessions_end_and_leave_the_state(spark):
     assert closed.count() == closed.select(*sessions.SESSION).distinct().count()
     lists = spark.createDataFrame([], "gtin string, batch string, expected_qty long"), spark.createDataFrame([], "gtin string, batch string, qty long")
     assert {r.status for r in sessions.match_closed_sessions(closed, *lists).collect()} == {"NOT_LISTED"}
+
+
+def test_bitmaps_are_made_behind_the_shuffle(spark):
+    m = spark.createDataFrame([(dt.date(2000, 1, 1), "P", "S", "a")], "move_date date, plant_code string, move_type string, ref_no string")
+    numbers = spark.createDataFrame([("a", 1)], "ref_no string, invoice_id long")
+    text = invoices.invoice_bitmaps(m, numbers)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < text.index("partial_bitmap_construct_agg") < text.index("Exchange")
