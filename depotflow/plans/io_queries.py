@@ -1,6 +1,7 @@
 """Queries that write a table and read it back, and queries that run as streams."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calendar import month_range
 from ..operators import dispatch, invoices
@@ -17,8 +18,9 @@ from .workflows import dispatch_plan
 from .registry import query, sql_with
 from .scan_queries import CLASSIFIED, EXTRACTED, FIXED
 
-# Micro-batches that the stream queries run in, and files of each.
+# Micro-batches that the stream queries run in, least files of each, and most scans of a file if there are more files.
 BATCHES, BATCH_FILES = 5, 4
+FILE_SCANS = 100_000
 SALES_HEADERS = {"거래처명": "name", "주소": "address", "박스수량": "box_qty", "봉지수량": "bag_qty"}
 
 
@@ -114,10 +116,11 @@ def _(t):
 
 
 def _scan_stream(t):
-    """The scan table landed once, then read back as a stream of files in several micro-batches."""
+    """The scan table landed once, then read back as a stream of files in several micro-batches, each for all cores."""
     path = fresh_path(t.spark, "scans")
-    t.scans.repartition(BATCHES * BATCH_FILES).write.parquet(path)
-    return t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
+    files = max(BATCH_FILES, t.spark.sparkContext.defaultParallelism)
+    t.scans.repartition(BATCHES * files).write.parquet(path)
+    return t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("classify_stream", "D1", sql_with(["scans"], "SELECT * FROM classified", [CLASSIFIED]))
@@ -145,12 +148,18 @@ def _(t):
 
 
 def _scans_by_year(t, years):
-    """The scan table landed year after year in the given order, and a stream with a micro-batch a year. The first and last year have all before and after."""
-    path = fresh_path(t.spark, "scans")
+    """The scan table landed year after year in the given order, and a stream with a micro-batch a year. The first and last year have all before and after.
+
+    The table is built once and kept by year; the files of a year grow in number with the table.
+    """
+    path, by_year = fresh_path(t.spark, "scans"), fresh_path(t.spark, "scans-by-year")
     year = F.greatest(F.lit(min(years)), F.least(F.lit(max(years)), F.year("scan_ts")))
+    t.scans.withColumn("year", year).write.partitionBy("year").parquet(by_year)
+    kept = t.spark.read.schema(T.StructType([*SCAN.fields, T.StructField("year", T.IntegerType())])).parquet(by_year)
+    files = max(BATCH_FILES, kept.count() // (len(years) * FILE_SCANS))
     for y in years:
-        t.scans.where(year == y).repartition(BATCH_FILES).write.mode("append").parquet(path)
-    return path, t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", BATCH_FILES).parquet(path)
+        kept.where(F.col("year") == y).drop("year").repartition(files).write.mode("append").parquet(path)
+    return path, t.spark.readStream.schema(SCAN).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _closed(t, years):
