@@ -360,7 +360,7 @@ def score_documents(docs, id="doc_id", text="text", modulus=10):
     gets a row; an empty table gives no rows. Other columns are ignored.
 
     Contexts of up to two bytes have at most 256^3 counts and travel as a broadcast of at most
-    200 MB; longer contexts and token counts stay distributed and grow with the input. Texts are
+    340 MB; longer contexts and token counts stay distributed and grow with the input. Texts are
     read three times and shuffled once, to their block's counts.
     """
     spark = docs.sparkSession
