@@ -1,12 +1,13 @@
 """Reading, normalising and landing the movement table."""
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import year_month
 from ..schema import MOVE_TYPE_LABELS, MOVEMENT, MOVEMENT_HEADERS, MOVEMENT_LANDED
-from ..session import fresh_path
 from .tables import normalise_headers
 
 
@@ -55,12 +56,13 @@ def land_extract(df, path, extract_no, key=("ref_no",)):
 
     All rows of a key come from the highest extract number that has the key: a corrected extract replaces
     them, also where their month changed, an older one that comes late adds only keys that no newer one has, and landing
-    an extract again changes nothing. Months that neither hold nor get a row of the extract's keys are not
-    rewritten. Rows with a null in the key are kept from every number, once for each.
+    an extract again changes nothing. Months whose rows stay the same are not rewritten. Rows with a null in the key are
+    kept from every number, once for each.
 
-    Only the key and number columns are read to find the months; those months are merged into a staging table in the
-    shared folder, so a run that fails before the last step leaves the table as it was. The last
-    step replaces the months as wholes and can be repeated.
+    Keys and digests of rows tell which months change. Only rows of these are shuffled as wholes: once by
+    month, and before that by key on a side that may lose rows to the other. `df` is read several times.
+    Months are written beside the table first, so a run that fails before the last step leaves it as it was. The
+    last step moves the months into their places as wholes.
     """
     spark, key = df.sparkSession, list(key)
     incoming = df.withColumn("extract_no", F.lit(extract_no).cast("long")).withColumn("move_month", year_month("move_date"))
@@ -70,32 +72,61 @@ def land_extract(df, path, extract_no, key=("ref_no",)):
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        current = spark.createDataFrame([], _LANDED_EXTRACTS)
-    keys = incoming.select(*key).distinct()
-    held = current.select(*key, "extract_no", "move_month").join(keys, key, "left_semi")
-    same_number = current.where(F.col("extract_no") == extract_no).select("move_month")
-    touched = [r[0] for r in held.select("move_month").union(incoming.select("move_month")).union(same_number).distinct().collect()]
-    if not touched:
+        return _put_months(incoming, path)
+    numbers = [r[0] for r in current.select("extract_no").distinct().collect() if r[0] is not None]
+    older, same, newer = (current.where(c) for c in (
+        F.col("extract_no") < extract_no, F.col("extract_no") == extract_no, F.col("extract_no") > extract_no))
+    has_older, has_newer = min(numbers, default=extract_no) < extract_no, max(numbers, default=extract_no) > extract_no
+    keys, newer_keys = incoming.select(*key).distinct(), newer.select(*key).distinct()
+
+    def added(rows):
+        # a join with a side that is known to be empty would still shuffle the rows
+        return rows.join(newer_keys, key, "left_anti") if has_newer else rows
+
+    # rows of this number go and come anew: they are what a first, failed or repeated landing left
+    changes = added(_digests(incoming, 1, *key)).select(*_DIGESTS).unionByName(_digests(same, -1))
+    if has_older:
+        replaced = older.select(*key, "move_month").join(keys, key, "left_semi")
+        changes = changes.unionByName(replaced.select("move_month", F.lit(1).alias("lost")), allowMissingColumns=True)
+    sums = changes.groupBy("move_month").agg(
+        F.sum("lost"), F.sum("rows"), *[F.sum(F.col(c).cast("decimal(20,0)") * F.col("rows")) for c in _DIGESTS[3:]])
+    months = [r[0] for r in sums.collect() if any(r[1:])]
+    if not months:
         return []
     month = F.col("move_month")
-    part = current.where(month.isin([t for t in touched if t]) | (month.isNull() if None in touched else F.lit(False)))
-    newer = held.where(F.col("extract_no") > extract_no).select(*key).distinct()
-    # rows of this number go as well: they are what a first, failed or repeated landing left
-    stay = part.where(F.col("extract_no") != extract_no).join(
-        keys, [part[k] == keys[k] for k in key] + [part["extract_no"] < extract_no], "left_anti")
-    merged = stay.unionByName(incoming.join(newer, key, "left_anti"))
-    staged = fresh_path(spark, "staged")
-    merged.write.partitionBy("move_month").parquet(staged)
-    merged = spark.read.schema(_LANDED_EXTRACTS).parquet(staged)
-    filled = {r[0] for r in merged.select("move_month").distinct().collect()}
-    (merged.hint("rebalance", "move_month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("move_month").parquet(path))
-    for gone in set(touched) - filled:      # a month without rows is not replaced by the writer
-        _drop_month(spark, path, gone)
-    return sorted(touched, key=lambda t: t or "")
-
-
-def _drop_month(spark, path, month):
-    name = "__HIVE_DEFAULT_PARTITION__" if month is None else month
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/move_month={name}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    changed = month.isin([m for m in months if m]) | (month.isNull() if None in months else F.lit(False))
+    merged = newer.where(changed).unionByName(added(incoming.where(changed)))
+    if has_older:
+        merged = merged.unionByName(older.where(changed).join(keys, key, "left_anti"))
+    return _put_months(merged, path, months)
+
+
+_DIGESTS = ("move_month", "lost", "rows", "digest", "other")
+
+
+def _digests(rows, sign, *kept):
+    """Two hashes of each row over all columns; summed by month with the sign, equal rows added and taken away cancel out."""
+    names = MOVEMENT.fieldNames()
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in names])  # hashes pass over nulls
+    hashes = [F.xxhash64(F.lit(seed), nulls, *names).alias(name) for seed, name in enumerate(_DIGESTS[3:])]
+    return rows.select(*kept, "move_month", F.lit(0).alias("lost"), F.lit(sign).alias("rows"), *hashes)
+
+
+def _put_months(rows, path, months=()):
+    """Writes rows by month beside the table and moves the folders into place; of `months`, those without rows are dropped."""
+    spark, staged = rows.sparkSession, f"{path.rstrip('/')}.landing-{uuid.uuid4().hex}"
+    (rows.hint("rebalance", "move_month").sortWithinPartitions("move_month", "move_date")
+     .write.partitionBy("move_month").parquet(staged))
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    filled = {r[0] for r in spark.read.schema(_LANDED_EXTRACTS).parquet(staged).select("move_month").distinct().collect()}
+    if filled:
+        files.mkdirs(folder(path))
+    for month in filled.union(months):
+        name = f"move_month={'__HIVE_DEFAULT_PARTITION__' if month is None else month}"
+        files.delete(folder(f"{path}/{name}"), True)
+        if month in filled and not files.rename(folder(f"{staged}/{name}"), folder(f"{path}/{name}")):
+            raise OSError(f"{staged}/{name} was not moved to {path}")
+    files.delete(folder(staged), True)
+    spark.catalog.refreshByPath(path)
+    return sorted(filled.union(months), key=lambda m: m or "")

@@ -51,6 +51,27 @@ def test_landing_a_correction(spark):
     assert land_extract(late.limit(0), path, 7) == []
 
 
+def test_landing_rewrites_only_months_that_change(spark):
+    path = fresh_path(spark, "extracts")
+    one = movement(spark, [(f"I{i}", f"2020-0{1 + i % 3}-05", None, "P", "S", i) for i in range(9)] + [(None, None, "08:00:00", "P", "S", 1)])
+    two = movement(spark, [("I1", "2020-02-05", None, "P", "S", 10), ("I3", "2020-01-05", None, "P", "S", 3)])
+    land_extract(one, path, 1)
+    assert land_extract(two, path, 2) == ["2020-01", "2020-02"]
+    before, rows = files(path), plain(spark, path)
+    # both again, the older one last: nothing to write
+    assert land_extract(two, path, 2) == [] and land_extract(one, path, 1) == []
+    assert files(path) == before and plain(spark, path) == rows
+    # the same number with other rows replaces its own: an amount, a row that comes twice, a value in another column
+    for changed in ([("I1", "2020-02-05", None, "P", "S", 11), ("I3", "2020-01-05", None, "P", "S", 3)],
+                    [("I1", "2020-02-05", None, "P", "S", 11)] * 2 + [("I3", "2020-01-05", None, "P", "S", 3)],
+                    [("I1", "2020-02-05", "P", None, "S", 11)] * 2 + [("I3", "2020-01-05", None, "P", "S", 3)]):
+        assert land_extract(movement(spark, changed), path, 2) == ["2020-02"]
+        kept = [r for r in rows if r[0] != "I1"]
+        assert plain(spark, path) == sorted(kept + [("I1", "2020-02-05", 11, "2020-02")] * (len(changed) - 1), key=str)
+        assert land_extract(movement(spark, changed), path, 2) == []
+    assert [p.name for p in Path(path).parent.glob(f"{Path(path).name}.landing-*")] == []
+
+
 @pytest.fixture(scope="module")
 def landed(spark):
     rng = random.Random(4)
