@@ -1,4 +1,4 @@
-"""All fields of a GS1 element string, read by a fold over a table of identifiers."""
+"""All fields of a GS1 element string, read by a pattern made from a table of identifiers."""
 
 from pyspark.sql import functions as F
 
@@ -17,42 +17,42 @@ IDENTIFIERS = (
 _GS = "\x1d"
 
 
-def _let(value, use):
-    """`use(value)` with the value computed once, inside a lambda too."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _rules():
     return F.create_map(*[x for two, digits, size in IDENTIFIERS for x in (
         F.lit(two), F.struct(F.lit(digits).alias("digits"), F.lit(size).alias("size")))])
 
 
-def _read(state, rest, rule):
-    """State after the field in front of `rest`; a field that cannot be read sets the reason and ends the fold."""
-    def field(cut):
-        ai, body = cut["ai"], cut["body"]
-        end = F.instr(body, _GS)
-        value = F.when(rule["size"] > 0, F.substring(body, F.lit(1), rule["size"])).when(
-            end > 0, F.substring(body, F.lit(1), end - 1)).otherwise(body)
-
-        def add(v):
-            reason = (
-                F.when(rule.isNull() | ~F.rlike(ai, F.lit("^[0-9]+$")) | (F.length(ai) < rule["digits"]), F.concat(
-                    F.lit("UNKNOWN_IDENTIFIER:"), F.substring(rest, 1, 2)))
-                .when((rule["size"] > 0) & (F.length(v) < rule["size"]), F.concat(F.lit("TOO_SHORT:"), ai))
-                .when((rule["size"] > 0) & ~F.rlike(v, F.lit("^[0-9]+$")), F.concat(F.lit("NOT_DIGITS:"), ai))
-                .when(v == "", F.concat(F.lit("EMPTY:"), ai)))
-            entry = F.array(F.struct(ai.alias("ai"), v.alias("value")))
-            known = F.exists(state["fields"], lambda f: f["ai"] == ai)
-            return _let(reason, lambda r: F.struct(
-                F.when(r.isNull(), F.substring(body, F.length(v) + 1, F.length(body))).otherwise(rest).alias("rest"),
-                F.when(r.isNotNull() | known, state["fields"]).otherwise(F.concat(state["fields"], entry)).alias("fields"),
-                r.alias("reason")))
-        return _let(value, add)
+def _field_pattern():
+    """Pattern of the next readable field with the separators in front of it; group 1 is its identifier.
+
+    A match starts where the one before has ended, so the first field that cannot be read ends the matches. The first two
+    digits tell the identifier, so at most one alternative fits, and each has one way to match.
+    """
+    shapes, lengths = {}, {}
+    for two, digits, size in IDENTIFIERS:
+        shapes.setdefault((digits, size), []).append(two)
+        lengths.setdefault(digits, []).append(two)
+
+    def one_of(twos, digits):
+        return f"(?:{'|'.join(twos)})" + f"[0-9]{{{digits - 2}}}" * (digits > 2)
 
+    identifier = "|".join(one_of(twos, digits) for digits, twos in lengths.items())
+    fields = "|".join(one_of(twos, digits) + (f"[0-9]{{{size}}}" if size else f"[^{_GS}]+") for (digits, size), twos in shapes.items())
+    return rf"\G{_GS}*(?=({identifier}))(?:{fields})"
+
+
+def _reason(rest):
+    """Why the field at the start of `rest` cannot be read."""
+    rule = F.try_element_at(_rules(), F.substring(rest, 1, 2))
     digits = F.coalesce(rule["digits"], F.lit(2))
-    return _let(F.struct(F.substring(rest, F.lit(1), digits).alias("ai"),
-                         F.substring(rest, digits + 1, F.length(rest)).alias("body")), field)
+    ai, body = F.substring(rest, F.lit(1), digits), F.substring(rest, digits + 1, F.length(rest))
+    value = F.substring(body, F.lit(1), rule["size"])
+    return (
+        F.when(rule.isNull() | ~F.rlike(ai, F.lit(r"\A[0-9]+\z")) | (F.length(ai) < rule["digits"]), F.concat(
+            F.lit("UNKNOWN_IDENTIFIER:"), F.substring(rest, 1, 2)))
+        .when(rule["size"] == 0, F.concat(F.lit("EMPTY:"), ai))
+        .when(F.length(value) < rule["size"], F.concat(F.lit("TOO_SHORT:"), ai))
+        .otherwise(F.concat(F.lit("NOT_DIGITS:"), ai)))
 
 
 def gs1_fields(scans, missing_mark=None, excess_codes=None):
@@ -60,19 +60,19 @@ def gs1_fields(scans, missing_mark=None, excess_codes=None):
 
     The repaired text is a sequence of fields. The first two digits of a field tell the length of its
     identifier and whether its data has a set length or runs to the next separator. Of an identifier that occurs
-    twice the first value counts. What cannot be read ends the fold: UNKNOWN_IDENTIFIER, TOO_SHORT, NOT_DIGITS or EMPTY,
+    twice the first value counts. What cannot be read ends it: UNKNOWN_IDENTIFIER, TOO_SHORT, NOT_DIGITS or EMPTY,
     with the identifier; fields before it are kept. An empty or blank text has no fields and the reason NO_TEXT.
-    Separators and a symbology prefix in front are ignored. The fold takes a step for every three characters at most.
+    Separators and a symbology prefix in front are ignored. A text is passed over once, whatever its number of fields.
     """
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("element") / 3).cast("int")))
-    start = F.struct(F.col("element").alias("rest"), F.expr("cast(array() as array<struct<ai:string,value:string>>)").alias("fields"),
-                     F.when(F.trim("element") == "", "NO_TEXT").alias("reason"))
-
-    def step(state, _):
-        return _let(F.ltrim(state["rest"], F.lit(_GS)), lambda rest: F.when(
-            state["reason"].isNotNull() | (rest == ""), state).otherwise(
-            _let(F.try_element_at(_rules(), F.substring(rest, 1, 2)), lambda rule: _read(state, rest, rule))))
-
     separated = computed_once(separated_text(scans, missing_mark, excess_codes), {"element": F.col("text")})
-    read = computed_once(separated, {"read": F.aggregate(steps, start, step)})
-    return read.select(*scans.columns, F.map_from_entries("read.fields").alias("fields"), F.col("read.reason").alias("reason"))
+    pattern = F.lit(_field_pattern())
+    read = computed_once(separated, {name: F.regexp_extract_all("element", pattern, F.lit(group)) for group, name in enumerate(("matched", "ais"))})
+    rest = F.ltrim(F.substring("element", F.length(F.array_join("matched", "")) + 1, F.length("element")), F.lit(_GS))
+    # the value stands behind the identifier, in front of which there are separators only
+    values = F.zip_with("matched", "ais", lambda m, ai: F.substring(m, F.instr(m, ai) + F.length(ai), F.length(m)))
+    read = computed_once(read, {"rest": rest, "values": values})
+    own = F.col("ais")
+    first = F.filter(F.arrays_zip("ais", "values"), lambda f, i: F.array_position(own, f["ais"]) == i + 1)
+    fields = F.when(F.size(F.array_distinct(own)) < F.size(own), F.map_from_entries(first)).otherwise(F.map_from_arrays("ais", "values"))
+    reason = F.when(F.trim("element") == "", "NO_TEXT").when(F.col("rest") != "", _reason(F.col("rest")))
+    return read.select(*scans.columns, fields.alias("fields"), reason.alias("reason"))

@@ -30,6 +30,9 @@ CASES = [
     ("X12345", {}, "UNKNOWN_IDENTIFIER:X1"), ("1", {}, "UNKNOWN_IDENTIFIER:1"),
     ("", {}, "NO_TEXT"), (None, {}, "NO_TEXT"), ("<GS>", {}, "NO_TEXT"), ("   ", {}, "NO_TEXT"),
     (CODE + "10" + "L" * 5000, {"01": "18801234567890", "10": "L" * 5000}, None),
+    (CODE + "1726123\n", {"01": "18801234567890"}, "NOT_DIGITS:17"), (CODE + "23\nA", {"01": "18801234567890"}, "UNKNOWN_IDENTIFIER:23"),
+    (CODE + "10A\nB<GS>21\u00e9\U0001f600", {"01": "18801234567890", "10": "A\nB", "21": "\u00e9\U0001f600"}, None),
+    ("10" + "<GS>10".join(str(i) for i in range(5000)) + "<GS>21S", {"10": "0", "21": "S"}, None),
 ]
 
 
@@ -42,3 +45,10 @@ def read(spark):
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_labelled_codes(read, i):
     assert read[i] == CASES[i][1:]
+
+
+def test_a_text_is_read_without_a_step_for_every_field(spark):
+    """The number of lambdas in the plan, each run for every element, is that of fields made and compared."""
+    found = gs1_fields(spark.createDataFrame([(1, 1, 1, None, CODE)], SCAN))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("lambdafunction(") <= 2
