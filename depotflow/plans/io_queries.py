@@ -89,7 +89,8 @@ def _(t):
     days = t.spark.read.parquet(f"{path}/detail").groupBy("route_day").agg(
         F.count("vehicle_id").alias("located_orders"))
     summary = t.spark.read.parquet(f"{path}/summary")
-    return _rounded(summary.join(days, "route_day").select(
+    # days are few against the summary's rows, a vehicle and day each, which need no shuffle so
+    return _rounded(summary.join(F.broadcast(days), "route_day").select(
         "route_day", "vehicle_id", "stops", "km", "located_orders"), "km")
 
 
