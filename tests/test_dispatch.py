@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depotflow.functions.geo import geo_distance_km
+from depotflow.functions.once import shuffled_once
 from depotflow.functions.text import clock_text
 from depotflow.operators import balance, dispatch, routing
 
@@ -373,3 +374,25 @@ def test_scenarios_equal_separate_runs(spark, max_inline):
         pick = ("route_day", "vehicle_id", "stops", "total_km", "fuel_cost")
         assert sorted(found.where(F.col("scenario_id") == scenario).select(*pick).collect()) == \
             sorted(alone.select(*pick).collect())
+
+
+def test_a_coordinate_text_is_read_once_a_row(spark):
+    df = spark.createDataFrame([(1, "128.5,35.5"), (2, "1,95"), (3, "x"), (4, None)], "order_id int, coord string")
+    found = dispatch.only_located(dispatch.locate(df))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("cast(") == 2
+    assert found.columns == ["order_id", "coord", "lat", "lon"]
+    assert [tuple(r) for r in found.collect()] == [(1, "128.5,35.5", 35.5, 128.5)]
+    # a frame that has the columns gets them in their places
+    assert dispatch.locate(found).columns == found.columns
+
+
+def test_uses_of_shuffled_rows_share_one_shuffle(spark, tmp_path):
+    spark.range(100).withColumn("text", F.col("id").cast("string")).write.parquet(str(tmp_path / "rows"))
+    rows = shuffled_once(spark.read.parquet(str(tmp_path / "rows")), ["id"])
+    both = rows().groupBy("id").count().join(rows().select("id", "text"), "id")
+    assert both.count() == 100
+    both.collect()
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
