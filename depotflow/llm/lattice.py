@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding as a relational lattice."""
+"""SentencePiece encoding and decoding as a lattice of pieces over words."""
 
 import re
 from collections import defaultdict
@@ -6,16 +6,17 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import text_of, write_shared
+from .common import text_of
 
 SPACE = "▁"
 UNIT = re.compile(SPACE + r"+[^" + SPACE + r"\n\t]*|[^" + SPACE + r"\n\t]+|[\n\t]")
-# Words of more characters are folded in one pass over their characters: the fold in column expressions copies its state.
+# Words of more characters are folded edge by edge: taken together, words need a step for each place of the longest.
 LONGEST = 512
 BLOCK_CHARS = 8 << 20
+SLICE_CHARS = 1 << 17
+CHAR_BITS = 21
 
 
 def piece_table(spark, model_file):
@@ -39,152 +40,169 @@ def units(text):
     return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _word_blocks(docs):
-    """Texts as arrays of word numbers and the distinct words of each block of about 8 MB, written."""
-    def split(batches):
-        task, number = TaskContext.get().partitionId() << 32, 0
-        schema = pa.schema([("block", pa.int64()), ("id", pa.int64()), ("words", pa.binary()),
-                            ("local", pa.int32()), ("word", pa.string())])
-
-        def emit(ids, arrays, numbers, block):
-            none = pa.nulls(len(ids))
-            yield pa.record_batch([pa.array([block] * len(ids), pa.int64()), pa.array(ids, pa.int64()),
-                                   pa.array(arrays, pa.binary()), none.cast(pa.int32()), none.cast(pa.string())], schema=schema)
-            words = list(numbers)
-            for at in range(0, len(words), 50000):
-                part = words[at:at + 50000]
-                none = pa.nulls(len(part))
-                yield pa.record_batch([pa.array([block] * len(part), pa.int64()), none.cast(pa.int64()),
-                                       none.cast(pa.binary()), pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                                       pa.array(part, pa.string())], schema=schema)
+def piece_trie(pieces):
+    """The pieces' prefixes as arrays `keys`, `ids`, `scores`, and the score of a byte of a character without a piece.
 
-        ids, arrays, size, numbers = [], [], 0, defaultdict(count().__next__)
-        for batch in batches:
-            for id_, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                found = units(text)
-                ids.append(id_)
-                arrays.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)).tobytes())
-                size += len(text)
-                if size >= BLOCK_CHARS:
-                    yield from emit(ids, arrays, numbers, task + number)
-                    ids, arrays, size, numbers, number = [], [], 0, defaultdict(count().__next__), number + 1
-        if ids:
-            yield from emit(ids, arrays, numbers, task + number)
-
-    return write_shared(docs.mapInArrow(split, "block long, id long, words binary, local int, word string"), "words")
-
-
-def best_ids(word, table, longest, unknown, byte_zero):
-    """Ids of one word by the rule of `encode_words`, in time in proportion to its length."""
-    best, back = [0.0], [0]
-    for end in range(1, len(word) + 1):
-        top = None
-        for start in range(max(0, end - longest), end):
-            found = table.get(word[start:end])
-            if found is None and end - start > 1:
-                continue
-            total = best[start] + (found[1] if found else unknown * len(word[start].encode()))
-            if top is None or total > top:
-                top, at = total, start
-        best.append(top)
-        back.append(at)
-    parts, end = [], len(word)
-    while end:
-        found = table.get(word[back[end]:end])
-        parts.append([found[0]] if found else [byte_zero + b for b in word[back[end]:end].encode()])
-        end = back[end]
-    return [i for part in reversed(parts) for i in part]
-
-
-def _encode_long_words(words, pieces, longest, unknown, byte_zero):
-    """`word`, `ids` of words too long for the fold in column expressions."""
+    Prefixes are numbered from 1 by length, then in order; that of number i has at i - 1 its key, the number of the
+    prefix without its last character and that character, and the id of the piece that it is, else -1. Keys ascend;
+    a last one is met by no text.
+    """
     table = {r["piece"]: (r["piece_id"], r["score"]) for r in pieces.collect()}
-    shared = words.sparkSession.sparkContext.broadcast(table)
+    prefixes = sorted({p[:k] for p in table for k in range(1, len(p) + 1)}, key=lambda p: (len(p), p))
+    number = {p: i for i, p in enumerate(["", *prefixes])}
+    keys = [number[p[:-1]] << CHAR_BITS | ord(p[-1]) for p in prefixes] + [1 << 62]
+    found = [table.get(p, (-1, 0.0)) for p in prefixes] + [(-1, 0.0)]
+    least = min((score for _, score in table.values() if score > -1e8), default=0.0)
+    return (np.array(keys, np.int64), np.array([i for i, _ in found], np.int64),
+            np.array([score for _, score in found]), least - 10)
+
+
+def _octets(chars):
+    return 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
 
-    def encode(batches):
-        for batch in batches:
-            found = batch.column(0).to_pylist()
-            ids = [best_ids(w, shared.value, longest, unknown, byte_zero) for w in found]
-            yield pa.record_batch([pa.array(found, pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return words.mapInArrow(encode, "word string, ids array<int>")
+def _edges(chars, ends, trie):
+    """Pieces met in words laid end to end: first and last place, id and score, by size, then place.
+
+    All places go down the trie together. `ends` holds for each place that behind its word. A
+    character without a piece costs its bytes; its id is -1 less the character.
+    """
+    keys, ids, scores, unknown = trie
+    found, start, node, size = [], np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+    while len(start) or not found:
+        last = start + size
+        key = node << CHAR_BITS | chars[last]
+        edge = np.searchsorted(keys, key)
+        met, piece = keys[edge] == key, ids[edge]
+        known = met & (piece >= 0)
+        if size:
+            found.append((start[known], last[known], piece[known], scores[edge[known]]))
+        else:
+            found.append((start, last, np.where(known, piece, -1 - chars), np.where(known, scores[edge], unknown * _octets(chars))))
+        alive = met & (last + 1 < ends[start])
+        start, node, size = start[alive], edge[alive] + 1, size + 1
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _fold_together(place, edges, best, back, piece):
+    """Folds edges of many words, one step for each place and size; `place` is an edge's first place within its word."""
+    order = np.argsort(place.astype(np.int16), kind="stable")
+    place = place[order]
+    start, last, ids, scores = (x[order] for x in edges)
+    size = last - start
+    cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(size) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+        to = last[a:b]
+        before = start[a:b] - 1 if place[a] else np.full(b - a, -1)
+        total = scores[a:b] + (best[before] if place[a] else 0.0)
+        better = total > best[to]
+        to = to[better]
+        best[to], back[to], piece[to] = total[better], before[better], ids[a:b][better]
+
+
+def _fold_singly(place, edges, best, back, piece):
+    """The same fold, edge by edge."""
+    order = np.lexsort((edges[1], edges[0]))
+    sums, taken = {}, {}
+    for first, start, last, id_, score in zip(*(x[order].tolist() for x in (place, *edges))):
+        total = score + (sums[start - 1] if first else 0.0)
+        if last not in sums or total > sums[last]:
+            sums[last], taken[last] = total, (start - 1 if first else -1, id_)
+    to = np.fromiter(taken, np.int64, len(taken))
+    back[to], piece[to] = np.array(list(taken.values()), np.int64).T
+
+
+def _slice_ids(words, trie, byte_zero):
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    firsts, sizes = np.repeat(bounds[:-1], size), np.repeat(size, size)
+    edges = _edges(chars, firsts + sizes, trie)
+    place, short = edges[0] - firsts[edges[0]], sizes[edges[0]] <= LONGEST
+    best, back, piece = np.full(len(chars), -np.inf), np.empty(len(chars), np.int64), np.empty(len(chars), np.int64)
+    for fold, own in ((_fold_together, short), (_fold_singly, ~short)):
+        if own.any():
+            fold(place[own], [x[own] for x in edges], best, back, piece)
+    chosen, at = np.zeros(len(chars), bool), (bounds[1:] - 1)[size > 0]
+    while len(at):
+        chosen[at] = True
+        at = back[at]
+        at = at[at >= 0]
+    ids = piece[chosen]
+    lost = ids < 0
+    octets = np.where(lost, _octets(-1 - ids), 1)
+    values = np.repeat(ids, octets)
+    values[np.repeat(lost, octets)] = byte_zero + np.frombuffer(
+        "".join(map(chr, (-1 - ids[lost]).tolist())).encode(), np.uint8).astype(np.int64)
+    behind = np.concatenate([[0], np.cumsum(octets)])[np.concatenate([[0], np.cumsum(chosen)])[bounds]]
+    return pa.ListArray.from_arrays(pa.array(behind, pa.int32()), pa.array(values, pa.int32()))
+
+
+def word_ids(words, trie, byte_zero):
+    """Ids of each word of a list by the rule of `encode_words`, in time in proportion to their characters."""
+    parts, at, chars = [pa.array([], pa.list_(pa.int32()))], 0, 0
+    for i, word in enumerate(words):
+        if chars and chars + len(word) > SLICE_CHARS:
+            parts.append(_slice_ids(words[at:i], trie, byte_zero))
+            at, chars = i, 0
+        chars += len(word)
+    if at < len(words):
+        parts.append(_slice_ids(words[at:], trie, byte_zero))
+    return pa.concat_arrays(parts)
 
 
 def encode_words(words, pieces, byte_zero):
     """`word`, `ids`: the segmentation of each distinct word with the largest sum of scores.
 
-    Substrings no longer than the longest piece are equi-joined to the piece
-    table; a character without a piece costs its bytes. The edges of a word, in order of
-    their ends, are folded: the best way to each end keeps its last edge, of equal sums the
-    longer last piece. Ids are read back from the end. Words over 512 characters take the same
-    best way, found by `best_ids`; no word is cut.
+    Every substring that is a piece is an edge; a character without a piece costs its bytes. Edges are folded in order
+    of their starts: the best way to each end keeps its last edge, of equal sums the longer last
+    piece. Ids are read back from the end. No word is cut.
     """
-    limits = pieces.agg(F.max(F.length("piece")).alias("longest"), F.min(F.when(
-        F.col("score") > -1e8, F.col("score"))).alias("least")).first()
-    longest, unknown = limits["longest"] or 1, (limits["least"] or 0.0) - 10
-    long = _encode_long_words(words.where(F.length("word") > LONGEST), pieces, longest, unknown, byte_zero)
-    starts = words.where(F.length("word") <= LONGEST).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size")).withColumn(
-        "piece", F.substring("word", F.col("start") + 1, F.col("size")))
-    raw = F.encode("piece", "UTF-8")
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda k: F.conv(
-        F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + byte_zero)
-    edges = spans.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or size = 1").select(
-        "word", F.struct(
-            (F.col("start") + F.col("size")).alias("end"), "start",
-            F.coalesce("score", F.lit(unknown) * F.octet_length("piece")).alias("score"),
-            F.when(F.col("piece_id").isNotNull(), F.array("piece_id")).otherwise(as_bytes).alias("ids")).alias("edge"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-
-    def step(best, edge):
-        total = F.element_at(best, edge["start"] + 1)["score"] + edge["score"]
-        new = F.array(F.struct(total.alias("score"), edge["start"].alias("start"), edge["ids"].alias("ids")))
-        here = F.element_at(best, -1)
-        return F.when(F.size(best) <= edge["end"], F.concat(best, new)).when(
-            total > here["score"], F.concat(F.slice(best, F.lit(1), F.size(best) - 1), new)).otherwise(best)
-
-    origin = F.expr("array(named_struct('score', 0.0D, 'start', -1, 'ids', cast(array() as array<int>)))")
-    best = F.aggregate("edges", origin, step)
-
-    def back(state, _):
-        node = F.element_at(F.col("best"), state["at"] + 1)
-        return F.when(state["at"] > 0, F.struct(node["start"].alias("at"), F.concat(node["ids"], state["ids"]).alias("ids"))) \
-            .otherwise(state)
-
-    first = F.struct((F.size("best") - 1).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-    return lattice.select("word", best.alias("best")).select(
-        "word", F.aggregate(F.sequence(F.lit(1), F.size("best") - 1), first, back, lambda s: s["ids"]).alias("ids")).unionAll(long)
+    shared = words.sparkSession.sparkContext.broadcast(piece_trie(pieces))
+
+    def encode(batches):
+        for batch in batches:
+            yield pa.record_batch([batch["word"], word_ids(batch["word"].to_pylist(), shared.value, byte_zero)], ["word", "ids"])
+
+    return words.select("word").where("word is not null").distinct().mapInArrow(encode, "word string, ids array<int>")
 
 
 def encode_documents(docs, model_file, id="doc_id", text="text"):
     """`id`, `ids` (array of piece ids) of every row.
 
-    The lattice is built once for each distinct word of the corpus. Words travel
-    as the distinct words of blocks, and the ids of a block's words come back to its
-    texts. Null and empty texts have no ids; null ids and repeated rows each get a row; an empty
-    table gives no rows; other columns are ignored. The piece table is broadcast: its size is the model's.
+    The lattice is built once for each distinct word of a block of about 8 MB of texts, in the task that
+    reads them, so nothing is shuffled or written. Null and empty texts have no ids; null ids and repeated rows each
+    get a row; an empty table gives no rows; other columns are ignored. The piece table is broadcast: its size is the
+    model's. A block's words and ids are held together; a block has at least one whole text.
 
     Segments have the largest sum of piece scores. A model whose scores are merge
     ranks is read in the same way, which need not be its own merge order.
     """
-    spark = docs.sparkSession
-    pieces, byte_zero = piece_table(spark, model_file)
-    blocks = _word_blocks(docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text")))
-    words = blocks.where("word is not null").select("block", "local", "word")
-    coded = encode_words(words.select("word").distinct(), pieces, byte_zero)
-    coded = write_shared(words.join(coded, "word").select("block", "local", "ids"), "codes")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        table = [b""] * right.num_rows
-        for place, ids in zip(right["local"].to_pylist(), right["ids"].to_pylist()):
-            table[place] = np.array(ids, np.int32).tobytes()
-        out = [np.frombuffer(b"".join([table[i] for i in np.frombuffer(w, np.int32).tolist()]), np.int32)
-               for w in left["words"].to_pylist()]
-        return pa.table({"id": left["id"], "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    texts = blocks.where("word is null").select("block", "id", "words")
-    done = texts.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, "id long, ids array<int>")
+    pieces, byte_zero = piece_table(docs.sparkSession, model_file)
+    shared = docs.sparkSession.sparkContext.broadcast(piece_trie(pieces))
+
+    def emit(ids, arrays, numbers):
+        bounds = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+        coded = word_ids(list(numbers), shared.value, byte_zero).take(pa.array(np.concatenate(arrays)))
+        ends = coded.offsets.to_numpy()[bounds]
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), coded.values)], ["id", "ids"])
+
+    def encode(batches):
+        ids, arrays, size, numbers = [], [], 0, defaultdict(count().__next__)
+        for batch in batches:
+            for id_, value in zip(batch["id"].to_pylist(), batch["text"]):
+                found = units(value.as_py())
+                ids.append(id_)
+                arrays.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                size += len(value.as_py())
+                if size >= BLOCK_CHARS:
+                    yield emit(ids, arrays, numbers)
+                    ids, arrays, size, numbers = [], [], 0, defaultdict(count().__next__)
+        if ids:
+            yield emit(ids, arrays, numbers)
+
+    done = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text")).mapInArrow(
+        encode, "id long, ids array<int>")
     return done.withColumnRenamed("id", id)
 
 
