@@ -14,7 +14,7 @@ SPACE = "▁"
 UNIT = re.compile(SPACE + r"+[^" + SPACE + r"\n\t]*|[^" + SPACE + r"\n\t]+|[\n\t]")
 # Words of more characters are folded edge by edge: taken together, words need a step for each place of the longest.
 LONGEST = 512
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 SLICE_CHARS = 1 << 17
 CHAR_BITS = 21
 
@@ -61,15 +61,15 @@ def _octets(chars):
     return 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
 
 
-def _edges(chars, ends, trie):
-    """Pieces met in words laid end to end: first and last place, id and score, by size, then place.
+def _edges(start, chars, ends, trie):
+    """Pieces met from places `start` of words laid end to end: first and last place, id and score, by size, then place.
 
-    All places go down the trie together. `ends` holds for each place that behind its word. A
+    The places go down the trie together. `ends` holds for each place that behind its word. A
     character without a piece costs its bytes; its id is -1 less the character.
     """
     keys, ids, scores, unknown = trie
-    found, start, node, size = [], np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
-    while len(start) or not found:
+    found, node, size = [], np.zeros(len(start), np.int64), 0
+    while len(start):
         last = start + size
         key = node << CHAR_BITS | chars[last]
         edge = np.searchsorted(keys, key)
@@ -78,7 +78,8 @@ def _edges(chars, ends, trie):
         if size:
             found.append((start[known], last[known], piece[known], scores[edge[known]]))
         else:
-            found.append((start, last, np.where(known, piece, -1 - chars), np.where(known, scores[edge], unknown * _octets(chars))))
+            char = chars[start]
+            found.append((start, last, np.where(known, piece, -1 - char), np.where(known, scores[edge], unknown * _octets(char))))
         alive = met & (last + 1 < ends[start])
         start, node, size = start[alive], edge[alive] + 1, size + 1
     return [np.concatenate(x) for x in zip(*found)]
@@ -103,12 +104,16 @@ def _fold_together(place, edges, best, back, piece):
 def _fold_singly(place, edges, best, back, piece):
     """The same fold, edge by edge."""
     order = np.lexsort((edges[1], edges[0]))
-    sums, taken = {}, {}
-    for first, start, last, id_, score in zip(*(x[order].tolist() for x in (place, *edges))):
-        total = score + (sums[start - 1] if first else 0.0)
-        if last not in sums or total > sums[last]:
-            sums[last], taken[last] = total, (start - 1 if first else -1, id_)
-    to = np.fromiter(taken, np.int64, len(taken))
+    low, high = max(0, edges[0].min() - 1), edges[1].max() + 1
+    sums, taken = best[low:high].tolist(), {}
+    for k in range(0, len(order), 1 << 16):
+        part = order[k:k + (1 << 16)]
+        for first, start, last, id_, score in zip(*(x[part].tolist() for x in (place, edges[0] - low, edges[1] - low, *edges[2:]))):
+            total = score + (sums[start - 1] if first else 0.0)
+            if total > sums[last]:
+                sums[last], taken[last] = total, (low + start - 1 if first else -1, id_)
+    to = low + np.fromiter(taken, np.int64, len(taken))
+    best[low:high] = sums
     back[to], piece[to] = np.array(list(taken.values()), np.int64).T
 
 
@@ -117,12 +122,14 @@ def _slice_ids(words, trie, byte_zero):
     bounds = np.concatenate([[0], np.cumsum(size)])
     chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     firsts, sizes = np.repeat(bounds[:-1], size), np.repeat(size, size)
-    edges = _edges(chars, firsts + sizes, trie)
-    place, short = edges[0] - firsts[edges[0]], sizes[edges[0]] <= LONGEST
+    ends = firsts + sizes
     best, back, piece = np.full(len(chars), -np.inf), np.empty(len(chars), np.int64), np.empty(len(chars), np.int64)
-    for fold, own in ((_fold_together, short), (_fold_singly, ~short)):
-        if own.any():
-            fold(place[own], [x[own] for x in edges], best, back, piece)
+    for low in range(0, len(chars), SLICE_CHARS):
+        edges = _edges(np.arange(low, min(low + SLICE_CHARS, len(chars))), chars, ends, trie)
+        place, short = edges[0] - firsts[edges[0]], sizes[edges[0]] <= LONGEST
+        for fold, own in ((_fold_together, short), (_fold_singly, ~short)):
+            if own.any():
+                fold(place[own], [x[own] for x in edges], best, back, piece)
     chosen, at = np.zeros(len(chars), bool), (bounds[1:] - 1)[size > 0]
     while len(at):
         chosen[at] = True
@@ -170,7 +177,7 @@ def encode_words(words, pieces, byte_zero):
 def encode_documents(docs, model_file, id="doc_id", text="text"):
     """`id`, `ids` (array of piece ids) of every row.
 
-    The lattice is built once for each distinct word of a block of about 8 MB of texts, in the task that
+    The lattice is built once for each distinct word of a block of about 4 MB of texts, in the task that
     reads them, so nothing is shuffled or written. Null and empty texts have no ids; null ids and repeated rows each
     get a row; an empty table gives no rows; other columns are ignored. The piece table is broadcast: its size is the
     model's. A block's words and ids are held together; a block has at least one whole text.

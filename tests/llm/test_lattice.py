@@ -36,7 +36,7 @@ def pieces(spark):
     return spark.createDataFrame(rows, "piece string, piece_id int, score double")
 
 
-@pytest.mark.parametrize("longest, chars", [(512, 1 << 17), (512, 50), (0, 1 << 17), (7, 50)])
+@pytest.mark.parametrize("longest, chars", [(512, 1 << 17), (512, 50), (0, 1 << 17), (0, 50), (7, 50)])
 def test_words_by_the_rule(pieces, monkeypatch, longest, chars):
     monkeypatch.setattr(lattice, "LONGEST", longest)
     monkeypatch.setattr(lattice, "SLICE_CHARS", chars)
