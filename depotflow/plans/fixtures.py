@@ -143,9 +143,23 @@ USES = {
 }
 
 
-def fixture(spark, sf_dir, name):
-    """A derived table as a DataFrame over the Parquet files in `sf_dir`."""
+# The joins of a text in an order for tables that all must be shuffled: partners are joined to orders, of which there are
+# fewer, and a row of the result moves twice, not three times. Inner joins give the same rows in any order.
+LARGE = {
+    "movement": """FROM {lineitem} l
+JOIN {part} p ON l.l_partkey = p.p_partkey
+JOIN ({orders} o JOIN ({customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
+                       JOIN {region} r ON n.n_regionkey = r.r_regionkey) ON o.o_custkey = c.c_custkey)
+  ON l.l_orderkey = o.o_orderkey
+""",
+}
+
+
+def fixture(spark, sf_dir, name, large=False):
+    """A derived table as a DataFrame over the Parquet files in `sf_dir`; `large` joins as `LARGE` says."""
     text = SQL[name]
+    if large:
+        text = text[:text.index("FROM {lineitem}")] + LARGE[name]
     inputs = {t: spark.read.schema(SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet")
               for t in TABLES if f"{{{t}}}" in text}
     inputs |= {t: fixture(spark, sf_dir, t) for t in USES.get(name, ())}

@@ -196,9 +196,9 @@ def _(t):
     ["movement"], "SELECT *, strftime(move_date, '%Y-%m') AS move_month FROM movement"))
 def _(t):
     """A first extract with wrong rows and gaps, a second that corrects it, both landed again, the older one last."""
-    # The source that both extracts are cut from, built once; rows in order of days shuffle in fewer bytes.
+    # The source that both extracts are cut from, built once.
     source = fresh_path(t.spark, "source")
-    t.movement.sortWithinPartitions("move_date").write.parquet(source)
+    t.large("movement").write.parquet(source)
     rows = movement.read_movement(t.spark, source, landed=False)
     number = F.substring("ref_no", 4, 20).cast("long")
     wrong = rows.where(number % 7 != 0).withColumn(

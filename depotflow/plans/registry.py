@@ -17,6 +17,10 @@ class Inputs:
     def __getattr__(self, name):
         return fixture(self.spark, self.sf_dir, name)
 
+    def large(self, name):
+        """The table joined in an order for inputs of which none fits into a broadcast."""
+        return fixture(self.spark, self.sf_dir, name, large=True)
+
 
 def sql_with(tables, select, ctes=(), recursive=False):
     """A statement over derived tables and further named subqueries."""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from depotflow.operators import invoices
 from depotflow.operators.filters import newest_movements, search_movements
+from depotflow.plans.fixtures import fixture
 from depotflow.schema import MOVEMENT, SCAN
 from depotflow.session import fresh_path
+from depotflow.sources import movement as source
 from depotflow.sources.movement import land_extract, land_movement, read_movement
 from depotflow.streaming import sessions
 
@@ -72,6 +74,56 @@ def test_landing_rewrites_only_months_that_change(spark):
     assert [p.name for p in Path(path).parent.glob(f"{Path(path).name}.landing-*")] == []
 
 
+@pytest.mark.parametrize("most", [source.MOST_BITMAPS, 0])
+def test_rows_that_stay_are_not_shuffled_by_key(spark, monkeypatch, most):
+    """Replaced rows are known by their places; the others only move to the task that writes their month."""
+    path, months = fresh_path(spark, "extracts"), [None, *[f"2020-{m:02d}" for m in range(1, 13)]]
+    one = [(f"I{i % 9000}" if i % 50 else None, months[i % 13] and f"{months[i % 13]}-0{1 + i % 7}", None, "P", "S", i) for i in range(20_000)]
+    two = [(f"I{i}", "2020-05-09", None, "P", "S", -i) for i in range(0, 9000, 4)]
+    monkeypatch.setattr(source, "FILE_ROWS", 700)
+    monkeypatch.setattr(source, "PACKED_BYTES", 40_000)
+    monkeypatch.setattr(source, "MOST_BITMAPS", most, raising=False)
+    land_extract(movement(spark, one).repartition(3), path, 1)
+    plans, put = [], source._put_months
+
+    def noted(rows, *args, **kwargs):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return put(rows, *args, **kwargs)
+
+    monkeypatch.setattr(source, "_put_months", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert land_extract(movement(spark, two), path, 2) == months
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    taken = {r[0] for r in two}
+    want = [(r[0], str(r[1]), r[5], r[1] and r[1][:7]) for r in one if r[0] not in taken] + [(r[0], r[1], r[5], "2020-05") for r in two]
+    assert plain(spark, path) == sorted(want, key=str)
+    assert "hashpartitioning(ref_no" not in plans[0]
+    assert bool(most) != ("hashpartitioning" in plans[0])
+    # about 1,150 rows a month, 3,400 in one, and three more of nulls: a file for each 700, and few that share
+    assert all(len(list(p.glob("*.parquet"))) <= 7 for p in Path(path).glob("move_month=*"))
+
+
+def test_joins_of_large_tables_give_the_same_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    one, two = (fixture(spark, folder, "movement", large=large) for large in (False, True))
+    assert one.schema == two.schema and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty() and not two.isEmpty()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixture(spark, folder, "movement", large=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "l_linenumber" in line and "FileScan" in line)
+    deep = len(lines[at]) - len(lines[at].lstrip(" :|+-"))
+    over = [line for i, line in enumerate(lines[:at]) if "Exchange" in line and len(line) - len(line.lstrip(" :|+-")) < deep
+            and all(len(x) - len(x.lstrip(" :|+-")) > len(line) - len(line.lstrip(" :|+-")) for x in lines[i + 1:at + 1])]
+    assert len(over) == 2  # a line item moves to its part and to its order
+
+
 @pytest.fixture(scope="module")
 def landed(spark):
     rng = random.Random(4)
